@@ -39,21 +39,17 @@ from .common import Isolated, fold
 FIT_ROWS = 4000
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
-STEPS = 200
+STEPS = 1000
 RATE = 0.05
 RIDGE = 1e-4
 
-#: Byte classes: marks stand alone, letters, digits and bytes of longer characters by kind.
-MARKS = b" \n\t!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-CLASSES = len(MARKS) + 6
-CLASS_OF = np.full(256, len(MARKS) + 5, np.int64)
-CLASS_OF[list(range(97, 123))] = len(MARKS)
-CLASS_OF[list(range(65, 91))] = len(MARKS) + 1
-CLASS_OF[list(range(48, 58))] = len(MARKS) + 2
-CLASS_OF[128:192] = len(MARKS) + 3
-CLASS_OF[192:256] = len(MARKS) + 4
-for _k, _b in enumerate(MARKS):
-    CLASS_OF[_b] = _k
+#: Byte classes by what the bytes are used for; those in no group are the last class.
+GROUPS = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b"\t\r", b".", b",", b"!", b"|",
+          b"#*$%&<>", b"'\"`", b"()[]{}", b":;?", b"-_/\\=+~^@", bytes(range(128, 192)), bytes(range(192, 256)))
+CLASSES = len(GROUPS) + 1
+CLASS_OF = np.full(256, len(GROUPS), np.int64)
+for _k, _group in enumerate(GROUPS):
+    CLASS_OF[list(_group)] = _k
 DENSE = 7
 WIDTH = CLASSES * CLASSES + DENSE
 

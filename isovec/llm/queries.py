@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_counts
+from . import language_id, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_counts
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_quality_classifier, op3_token_counts, op5_quality_rules, op9_simhash, op10_language_id)
+    for f in (op1_sentencepiece, op2_quality_classifier, op3_token_counts, op5_quality_rules, op6_line_dedup, op9_simhash, op10_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {

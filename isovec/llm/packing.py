@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import Isolated, materialise
-from .units import Memo
+from .units import Memo, encode_units
 
 CAPACITY = 4096
 END = 1
@@ -54,7 +54,7 @@ class Encoder:
 
     def __init__(self, path: str):
         tokenizer = Tokenizer.from_file(path)
-        self.memo = Memo(lambda units: (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(units, add_special_tokens=False)))
+        self.memo = Memo(lambda units: encode_units(tokenizer, units, " "))
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(self.memo.of((text or "").replace("\n", " ").split(" ")))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_counts
+from . import language_id, line_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_counts
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_quality_classifier, op3_token_counts, op5_quality_rules, op6_line_dedup, op9_simhash, op10_language_id)
+    for f in (op1_sentencepiece, op2_quality_classifier, op3_token_counts, op5_quality_rules, op6_line_dedup, op8_packing, op9_simhash, op10_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
 from .common import Isolated
-from .units import Memo
+from .units import Memo, encode_units
 
 MARKER = "▁"
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
@@ -132,19 +132,29 @@ class Codec:
         self.bare = Tokenizer(self.tokenizer.model)  # for what is normalised already
         self.cuttable = not any(re.search(f"[^{MARKER}]{MARKER}", p) for p, _, _ in self.spec.pieces)
         self.memo = Memo(lambda units: (np.array(e.ids, "<u4").tobytes() for e in self.bare.encode_batch(units, add_special_tokens=False)))
-        self.spaced = Memo(lambda parts: (np.array(e.ids, "<u4").tobytes() for e in self.bare.encode_batch(
-            [MARKER + p for p in parts], add_special_tokens=False)))
+        self.spaced = Memo(lambda parts: encode_units(self.bare, parts, MARKER), 600_000)
+        self.words = Memo(self.decode, 600_000)
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
+    def units(self, text: str) -> tuple[list[bytes], bool]:
+        """The ids of the text's units; whether the units are what lies between its spaces."""
         if not self.cuttable:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()], False
         if self.spec.plain and self.spec.dummy_prefix and text[0] != " " and "  " not in text and MARKER not in text:
-            return b"".join(self.spaced.of(text.split(" ")))
+            return self.spaced.of(text.split(" ")), True
         normal = self.tokenizer.normalizer.normalize_str(text)
-        return b"".join(self.memo.of([u for u in re.split(f"(?<=[^{MARKER}])(?={MARKER})", normal) if u]))
+        return self.memo.of([u for u in re.split(f"(?<=[^{MARKER}])(?={MARKER})", normal) if u]), False
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids as little-endian 32-bit integers."""
+        return b"".join(self.units(text)[0]) if text else b""
+
+    def round_trip(self, text: str) -> tuple[bytes, str]:
+        """The ids, and what they decode to. A unit's ids decode alike wherever it stands."""
+        if not text:
+            return b"", ""
+        ids, spaced = self.units(text)
+        whole = b"".join(ids)
+        return whole, " ".join(self.words.of(ids)) if spaced else self.decode([whole])[0]
 
     def decode(self, batch: list[bytes]) -> list[str]:
         return self.tokenizer.decode_batch([np.frombuffer(x, "<u4").tolist() for x in batch], skip_special_tokens=False)
@@ -200,8 +210,7 @@ def verify(docs: DataFrame, path: str) -> DataFrame:
         c, lib = codec(path), library(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            own = [c.encode(t) for t in texts]
-            back = c.decode(own)
+            own, back = zip(*map(c.round_trip, texts)) if texts else ((), ())
             theirs = chain.from_iterable(lib.encode(texts[k:k + 256], num_threads=1) for k in range(0, len(texts), 256))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0),

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, line_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_counts
+from . import language_id, line_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_counts, weighted_minhash
 from .common import table
 
 
+def op4_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_minhash.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_quality_classifier, op3_token_counts, op5_quality_rules, op6_line_dedup, op8_packing, op9_simhash, op10_language_id)
+    for f in (op1_sentencepiece, op2_quality_classifier, op3_token_counts, op4_weighted_minhash, op5_quality_rules, op6_line_dedup, op8_packing, op9_simhash, op10_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {

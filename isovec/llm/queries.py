@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, line_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_counts, weighted_minhash
+from . import katz, language_id, line_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_counts, weighted_minhash
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -55,7 +59,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_quality_classifier, op3_token_counts, op4_weighted_minhash, op5_quality_rules, op6_line_dedup, op8_packing, op9_simhash, op10_language_id)
+    for f in (
+        op1_sentencepiece, op2_quality_classifier, op3_token_counts, op4_weighted_minhash, op5_quality_rules, op6_line_dedup, op7_katz, op8_packing, op9_simhash, op10_language_id,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -4,11 +4,12 @@
    ``BANDS * ROWS`` values over its character shingles is cut into bands.
    Equal lines meet first, so that only distinct ones are compared.
 2. Distinct lines that share a band are candidates. Each is first compared with
-   the least line of the band; the exact Jaccard similarity of the shingle sets
-   decides. After joining what is alike, bands that still hold lines of several
-   components compare those across components, all of them. So every candidate
-   pair is compared or already connected, and a band of thousands of variants of
-   one line costs as many comparisons, not their square.
+   the band's pivot, the line that most documents have; the exact Jaccard
+   similarity of the shingle sets decides. After joining what is alike, bands
+   that still hold lines of several components compare those across components,
+   all of them. So every candidate pair is compared or already connected. A band
+   of thousands of variants close to one line costs as many comparisons; one of
+   as many lines that are not alike costs their square.
 3. Components are joined by distributed union-find. The line of the smallest
    document id, there the first, stays.
 
@@ -153,11 +154,12 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def shared_bands(docs: DataFrame) -> DataFrame:
-    """``key``, ``h``, ``doc_id`` (the least that has the line) and ``least`` (the band's least line), of bands with several distinct lines."""
-    distinct = signed(docs).groupBy("h").agg(F.min("doc_id").alias("doc_id"), *(F.min(f"k{b}").alias(f"k{b}") for b in range(BANDS)))
-    rows = distinct.select("h", "doc_id", F.explode(F.array(*(f"k{b}" for b in range(BANDS)))).alias("key"))
-    held = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("least")).where("n > 1").select("key", "least")
-    return materialise(rows.join(held, "key"), "line-bands")
+    """``key``, ``h``, ``doc_id`` (the least that has the line) and ``pivot`` (a line of the band
+    that most documents have), of bands with several distinct lines."""
+    distinct = signed(docs).groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.min(f"k{b}").alias(f"k{b}") for b in range(BANDS)))
+    rows = distinct.select("h", "doc_id", "n", F.explode(F.array(*(f"k{b}" for b in range(BANDS)))).alias("key"))
+    held = rows.groupBy("key").agg(F.count("*").alias("several"), F.max_by("h", "n").alias("pivot")).where("several > 1").select("key", "pivot")
+    return materialise(rows.join(held, "key").drop("n"), "line-bands")
 
 
 def _place(h: int, doc_id: int) -> int:
@@ -221,7 +223,7 @@ def line_links(docs: DataFrame) -> DataFrame:
     """``node``, ``root`` of distinct lines that are like others."""
     shared = shared_bands(docs)
     texts = texts_of(docs, shared.select("h", "doc_id").distinct())
-    stars = shared.where("h <> least").select(F.col("h").alias("a"), F.col("least").alias("b")).distinct()
+    stars = shared.where("h <> pivot").select(F.col("h").alias("a"), F.col("pivot").alias("b")).distinct()
     first = materialise(alike(stars, texts), "line-links")
     roots = connected_components(first, "line-links")
     marked = shared.join(roots, shared["h"] == roots["node"], "left").select("key", "h", F.coalesce("root", "h").alias("root"))
@@ -229,9 +231,10 @@ def line_links(docs: DataFrame) -> DataFrame:
     apart = materialise(marked.join(split, "key"), "line-apart")
     x = apart.select("key", F.col("h").alias("a"), F.col("root").alias("ra"))
     y = apart.select("key", F.col("h").alias("b"), F.col("root").alias("rb"))
-    # The least lines are compared with all of their band already.
+    # The pivots are compared with all of their band already.
+    compared = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = x.join(y, (x["key"] == y["key"]) & (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b").distinct()
-    more = materialise(alike(pairs.join(stars, ["a", "b"], "left_anti"), texts), "line-links")
+    more = materialise(alike(pairs.join(compared, ["a", "b"], "left_anti"), texts), "line-links")
     return connected_components(first.union(more), "line-links")
 
 

@@ -14,8 +14,8 @@ order and so without keys. Backoff sums take the same way by context. Frequent
 words cost one entry a part, wherever they stand, so that no bucket is hot. All
 of a corpus's words and pairs are counted; the tables grow with it.
 
-Word hashes have 64 bits. Pair hashes have ``log2(tokens) + 20``, 63 at most, so that
-about one pair in 2^20 is taken for another.
+Word hashes have 64 bits. Pair hashes have ``log2(characters / 4) + 17``, 63 at most,
+so that about one pair in 2^17 is taken for another.
 
 Edge cases: a null or empty text is the end token alone; rows of null id are
 scored and not learned from; every row is a document, also of a repeated id; with
@@ -45,7 +45,8 @@ from .common import Isolated, fold, materialise, partitions
 FOLDS, HELD_OUT = 5, 1
 PART_TOKENS = 4_500_000
 DISCOUNTED = 5
-SPARE_BITS = 20
+SPARE_BITS = 17
+DOCS_A_ROW = 256
 START, END = b" s", b" e"  # no word holds a space
 ROW = "part long, kind int, bucket int, doc_id long, held boolean, n long, a binary, b binary"
 NAMES = ["part", "kind", "bucket", "doc_id", "held", "n", "a", "b"]
@@ -70,11 +71,38 @@ def opened_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(opened(data, np.uint64), dtype=np.uint64)
 
 
-def pair_keys(first: np.ndarray, second: np.ndarray, width: int) -> np.ndarray:
-    h = first * np.uint64(0x9E3779B97F4A7C15) + (second ^ (second >> np.uint64(29)))
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (h ^ (h >> np.uint64(32))) >> np.uint64(64 - width)
+def pair_keys(hashes: np.ndarray, first: np.ndarray, second: np.ndarray, width: int) -> np.ndarray:
+    """In place as far as can be: a part's arrays of all its tokens decide a task's memory."""
+    h, other = hashes[first], hashes[second]
+    other ^= other >> np.uint64(29)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h += other
+    del other
+    for _ in range(2):
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h >>= np.uint64(64 - width)
+    return h
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct keys, a place of each, and for every place which of them it is."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    which = np.empty(len(keys), np.uint32)
+    which[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return keys[new], order[new], which
+
+
+def context_of(second: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
+    """The word before each word; ``start`` before a document's first."""
+    first = np.empty_like(second)
+    first[1:] = second[:-1]
+    first[np.cumsum(lengths) - lengths] = start
+    return first
 
 
 def bucket_bounds(keys: np.ndarray, width: int, bits: int) -> np.ndarray:
@@ -93,13 +121,11 @@ class Part:
         self.by = by
         self.hashes = np.concatenate([opened_sorted(r.a) for r in by[WORDS]])
         rank = opened(by[RANKS][0].a, np.uint32)
-        docs = [rank[opened(r.a, np.uint32)] for r in by[DOC]]
-        self.lengths = np.array([len(d) for d in docs])
-        self.second = np.concatenate(docs)
-        self.first = np.concatenate(([0], self.second[:-1]))
-        self.first[np.cumsum(self.lengths) - self.lengths] = np.searchsorted(self.hashes, np.uint64(xxhash.xxh64_intdigest(START)))
-        self.keys, self.at, self.pair = np.unique(pair_keys(self.hashes[self.first], self.hashes[self.second], width),
-                                                  return_index=True, return_inverse=True)
+        self.second = np.concatenate([rank[opened(r.a, np.uint32)] for r in by[DOC]])
+        facts = np.concatenate([opened(r.b, np.int64).reshape(3, -1) for r in by[DOC]], axis=1)
+        self.ids, self.marks, self.lengths = facts
+        self.first = context_of(self.second, self.lengths, int(np.searchsorted(self.hashes, np.uint64(xxhash.xxh64_intdigest(START)))))
+        self.keys, self.at, self.pair = distinct(pair_keys(self.hashes, self.first, self.second, width))
 
     def totals(self, kind: int, of: type = np.uint64) -> np.ndarray:
         return np.concatenate([opened(r.a, of) for r in self.by[kind]])
@@ -125,12 +151,14 @@ def parts(docs: DataFrame, width: int, bits: int) -> DataFrame:
         ranked[rank] = np.arange(len(rank), dtype=np.uint32)
         out.append((number, RANKS, 0, None, None, 0, shut(rank), None))
         begin = 0
-        for (doc_id, held), own in zip(texts, ids, strict=True):
-            out.append((number, DOC, 0, doc_id, held, len(own), shut(ranked[second[begin:begin + len(own)]]), None))
-            begin += len(own)
-        first = np.concatenate(([0], second[:-1]))
-        first[np.cumsum(lengths) - lengths] = place[table[START]]
-        keys, pair = np.unique(pair_keys(sorted_hashes[first], sorted_hashes[second], width), return_inverse=True)
+        for k in range(0, len(texts), DOCS_A_ROW):
+            some = texts[k:k + DOCS_A_ROW]
+            end = begin + int(lengths[k:k + DOCS_A_ROW].sum())
+            facts = [[doc_id or 0 for doc_id, _ in some], [2 if doc_id is None else int(held) for doc_id, held in some], lengths[k:k + DOCS_A_ROW]]
+            out.append((number, DOC, k // DOCS_A_ROW, None, None, len(some), shut(ranked[second[begin:end]]),
+                        shut(np.concatenate(facts).astype(np.int64))))
+            begin = end
+        keys, _, pair = distinct(pair_keys(sorted_hashes, context_of(second, lengths, int(place[table[START]])), second, width))
         pairs = np.bincount(pair[learned], minlength=len(keys)).astype(np.uint64)
         for kind, k, c, w in ((WORDS, sorted_hashes, counts, 64), (PAIRS, keys, pairs, width)):
             bounds = bucket_bounds(k, w, bits)
@@ -245,7 +273,7 @@ def score(docs: DataFrame) -> DataFrame:
     inner = box.df.select(box["doc_id"].cast("long").alias("doc_id"), box["text"].alias("text"),
                           (fold(box["doc_id"], FOLDS) == HELD_OUT).alias("held"))
     size = inner.agg(F.sum(F.length("text"))).first()[0] or 0  # characters; words are fewer
-    width = min(63, max(24, math.ceil(math.log2(size + 2)) + SPARE_BITS))
+    width = min(63, max(24, math.ceil(math.log2(size / 4 + 2)) + SPARE_BITS))
     bits = math.ceil(math.log2(max(2, partitions(spark))))
     own = materialise(parts(inner, width, bits), "katz-parts")
     counted = materialise(own.where(F.col("kind").isin(WORDS, PAIRS)).groupBy("kind", "bucket").applyInPandas(totals, ROW), "katz-totals")
@@ -302,10 +330,10 @@ def score(docs: DataFrame) -> DataFrame:
         log = np.log10(np.where(count > 0, seen, backoff[context] * chance[word]))
         of = np.repeat(np.arange(len(part.lengths)), part.lengths)
         n = len(part.lengths)
-        rows = part.by[DOC]
+        lost = part.marks == 2  # no id
         return pd.DataFrame({
-            "doc_id": pd.array([None if pd.isna(r.doc_id) else int(r.doc_id) for r in rows], "Int64"),
-            "held_out": pd.array([None if pd.isna(r.held) else bool(r.held) for r in rows], "boolean"),
+            "doc_id": pd.arrays.IntegerArray(part.ids.copy(), lost),
+            "held_out": pd.arrays.BooleanArray(part.marks == 1, lost),
             "n_tokens": part.lengths.astype(np.int64),
             "n_known": np.bincount(of, word_count[part.second] > 0, n).astype(np.int64),
             "train_tokens": np.int64(singles.tokens),

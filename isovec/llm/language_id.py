@@ -152,16 +152,21 @@ class Parser:
         """Phrases by language and block, for blocks given by start and length."""
         order = np.argsort(-lengths, kind="stable")
         starts, lengths = starts[order], lengths[order]
-        state = np.repeat(self.roots[:, None], len(starts), 1)
+        root = self.roots[:, None]
+        state = np.repeat(root, len(starts), 1)
         count = np.zeros(state.shape, np.int32)
         live = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), "left")
         for j, n in enumerate(live.tolist()):
             c = symbols[starts[:n] + j]
-            to = self.table[state[:, :n] * self.size + c]
+            at = state[:, :n]
+            to = self.table[at * self.size + c]
             ends = to < 0
-            count[:, :n] += ends
-            state[:, :n] = np.where(ends, self.first[:, c], to)
-        count += state != self.roots[:, None]
+            now = np.where(ends, self.first[:, c], to)
+            # A phrase ends, and a letter that the language never has is a phrase of its own.
+            count[:, :n] += ends & (at != root)
+            count[:, :n] += now == root
+            state[:, :n] = now
+        count += state != root
         out = np.empty_like(count)
         out[:, order] = count
         return out

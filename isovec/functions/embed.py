@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .exact import bind
+
 ALGORITHMS = ("word", "char_3gram", "char_4gram", "char_5gram")
 LARGEST = 65536
 #: Fixed value: hashes to 0 under Spark's seed 42, so that what follows it is hashed with seed 0.
@@ -30,8 +32,10 @@ def tokens(text: Column, algorithm: str) -> Column:
     if algorithm == "word":
         return F.regexp_extract_all(low, F.lit("[\\p{L}\\p{Nd}]+"), F.lit(0))
     n = int(algorithm[5])
-    return F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, F.lit(n)))).otherwise(
-        F.array().cast("array<string>"))
+    # Code points first: a substring by position would read the text from its start each time.
+    return bind(F.regexp_extract_all(low, F.lit("(?s)."), F.lit(0)), lambda points: F.when(
+        F.size(points) >= n, F.transform(F.sequence(F.lit(0), F.size(points) - n), lambda i: F.concat(*(F.get(points, i + k) for k in range(n))))
+    ).otherwise(F.array().cast("array<string>")))
 
 
 def slot(token: Column, dimension: int) -> Column:

@@ -107,8 +107,9 @@ def to_vector(df: DataFrame, text: str, dimension: int, algorithm: str = "word",
     before the shuffle.
     """
     name = embed.resolve(algorithm, dimension)
-    texts = df.select(F.col(text).alias("_t")).where("_t IS NOT NULL").distinct()
-    sums = (texts.select("_t", F.explode(F.transform(embed.tokens(F.col("_t"), name), lambda w: embed.slot(w, dimension))).alias("_s"))
+    key = F.md5(F.col(text).cast("binary"))  # a text's tokens carry this, not the text
+    texts = df.select(key.alias("_t"), F.col(text).alias("_text")).where("_t IS NOT NULL").distinct()
+    sums = (texts.select("_t", F.explode(F.transform(embed.tokens(F.col("_text"), name), lambda w: embed.slot(w, dimension))).alias("_s"))
             .groupBy("_t", F.col("_s.i").alias("_i")).agg(F.sum("_s.sign").alias("_v")).where("_v <> 0")
             .groupBy("_t").agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_m"), F.sum(F.col("_v") * F.col("_v")).alias("_ss")))
 
@@ -120,4 +121,4 @@ def to_vector(df: DataFrame, text: str, dimension: int, algorithm: str = "word",
     tail = F.array_repeat(F.lit(0.0), F.lit(dimension - 1) - F.element_at("_m", -1)["_i"])
     dense = F.when(F.col(text).isNotNull(), F.when(F.col("_m").isNull(), F.array_repeat(F.lit(0.0), dimension)).otherwise(
         F.concat(F.flatten(F.transform("_m", run)), tail)))
-    return df.join(sums, df[text] == sums["_t"], "left").withColumn(into, dense.cast(f"array<{width}>")).drop("_t", "_m", "_ss")
+    return df.join(sums, key == sums["_t"], "left").withColumn(into, dense.cast(f"array<{width}>")).drop("_t", "_m", "_ss")

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import arrow_udf
 
+from ..shipping import ship
 from . import embed
 from .codes import NOT_BINARY
 from .exact import NO_MAGNITUDE, SAME_LENGTH
@@ -203,6 +204,7 @@ def _embedding(kind: pa.DataType):
 
 def register(spark: SparkSession) -> None:
     """Registers every function and alias as a temporary function of the session."""
+    ship(spark)
 
     def add(names: tuple[str, ...], function, kind: str) -> None:
         for name in names:

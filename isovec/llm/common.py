@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Fixed by the word definition of the contracts: the six ASCII white-space characters.
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 WHITE_SPACE = " \t\n\x0b\f\r"
@@ -32,6 +34,7 @@ class Isolated:
     """
 
     def __init__(self, df: DataFrame):
+        ship(df.sparkSession)
         self.names = df.columns
         self.inner = [f"_in{i}" for i in range(len(self.names))]
         self.df = df.toDF(*self.inner)

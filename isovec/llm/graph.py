@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import materialise
 
 #: Links joined at a time in one task: the bound of its union-find.
@@ -68,6 +69,7 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(links: DataFrame, label: str = "links") -> DataFrame:
     """From links (two long columns) to ``node``, ``root``: the least node of its
     component, for every node that is not a root itself. Nulls link nothing."""
+    ship(links.sparkSession)
     a, b = links.columns
     clean = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     edges = materialise(clean.mapInArrow(_forest, "a long, b long").distinct(), label)  # a > b

@@ -7,9 +7,9 @@
    the band's pivot, the line that most documents have; the exact Jaccard
    similarity of the shingle sets decides. After joining what is alike, bands
    that still hold lines of several components compare those across components,
-   all of them. So every candidate pair is compared or already connected. A band
-   of thousands of variants close to one line costs as many comparisons; one of
-   as many lines that are not alike costs their square.
+   all of them. So every candidate pair is compared or already connected. The
+   join itself leaves out pairs whose bitmaps prove them unlike, so that a band
+   of thousands of variants that are not alike makes no rows of their square.
 3. Components are joined by distributed union-find. The line of the smallest
    document id, there the first, stays.
 
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Isolated, materialise
@@ -44,6 +44,9 @@ ROWS = 3
 BANDS = 10
 SIMILARITY = 0.8
 BATCH_CHARS = 1_000_000
+#: Bits of a line's bitmap, and lines mapped at a time.
+MAP = 2048
+MAPPED = 1000
 #: Bits of the bitmap that prunes the second reading; more lines only prune less.
 BITS = 1 << 24
 PER_MAP = 32768
@@ -76,19 +79,41 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def bands(lines: list[str]) -> np.ndarray:
-    """A 64-bit key a line and band."""
+def rolled(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 32-bit hash of every shingle, line after line; where each line's begin, and how many it has."""
     points = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     lengths = np.array([len(x) for x in lines])
     starts = np.cumsum(lengths) - lengths
-    rolled = np.zeros(len(points) - SHINGLE + 1, np.uint64)
+    value = np.zeros(len(points) - SHINGLE + 1, np.uint64)
     for k in range(SHINGLE):
-        rolled *= _ODD
-        rolled += points[k:k + len(rolled)]
+        value *= _ODD
+        value += points[k:k + len(value)]
     own = lengths - SHINGLE + 1
     first = np.cumsum(own) - own
     inside = np.arange(own.sum()) + np.repeat(starts - first, own)  # without shingles that cross lines
-    short = (_mixed(rolled[inside]) >> np.uint64(32)).astype(np.uint32)
+    return (_mixed(value[inside]) >> np.uint64(32)).astype(np.uint32), first, own
+
+
+def maps(lines: list[str]) -> np.ndarray:
+    """A bitmap of ``MAP`` bits a line, in which each of its shingles sets one, as 64-bit integers."""
+    short, _, own = rolled(lines)
+    bits = np.zeros(len(lines) * MAP, bool)
+    bits[np.repeat(np.arange(len(lines)) * MAP, own) + short // np.uint32((1 << 32) // MAP)] = True
+    return np.packbits(bits.reshape(len(lines), MAP), axis=1).view(np.int64)
+
+
+def may_be_alike(x: str, y: str) -> Column:
+    """False only where two lines cannot reach ``SIMILARITY``: they share at most as many shingles as
+    their bitmaps share bits, and the fewer of the shingles that found their bit set already."""
+    shared = sum((F.bit_count(F.get(f"{x}.bits", F.lit(k)).bitwiseAND(F.get(f"{y}.bits", F.lit(k)))) for k in range(1, MAP // 64)),
+                 F.bit_count(F.get(f"{x}.bits", F.lit(0)).bitwiseAND(F.get(f"{y}.bits", F.lit(0)))))
+    most = shared + F.least(f"{x}.hidden", f"{y}.hidden")
+    return most >= SIMILARITY * (F.col(f"{x}.n") + F.col(f"{y}.n") - most)
+
+
+def bands(lines: list[str]) -> np.ndarray:
+    """A 64-bit key a line and band."""
+    short, first, _ = rolled(lines)
     least = np.empty((BANDS * ROWS, len(lines)), np.uint64)
     for k in range(BANDS * ROWS):
         least[k] = np.minimum.reduceat((short ^ _MASKS[k]) * _MULTIPLIERS[k], first)
@@ -156,7 +181,8 @@ def signed(docs: DataFrame) -> DataFrame:
 def shared_bands(docs: DataFrame) -> DataFrame:
     """``key``, ``h``, ``doc_id`` (the least that has the line) and ``pivot`` (a line of the band
     that most documents have), of bands with several distinct lines."""
-    distinct = signed(docs).groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.min(f"k{b}").alias(f"k{b}") for b in range(BANDS)))
+    distinct = materialise(signed(docs).groupBy("h").agg(
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.min(f"k{b}").alias(f"k{b}") for b in range(BANDS))), "line-signatures")
     rows = distinct.select("h", "doc_id", "n", F.explode(F.array(*(f"k{b}" for b in range(BANDS)))).alias("key"))
     held = rows.groupBy("key").agg(F.count("*").alias("several"), F.max_by("h", "n").alias("pivot")).where("several > 1").select("key", "pivot")
     return materialise(rows.join(held, "key").drop("n"), "line-bands")
@@ -167,12 +193,13 @@ def _place(h: int, doc_id: int) -> int:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``h``, ``line`` for the lines ``wanted`` (``h`` and a document that has it)."""
+    """``h``, ``line`` and ``map`` (shingles ``n``, ``bits``, ``hidden``: shingles beyond the bits that are set)
+    for the lines ``wanted`` (``h`` and a document that has it)."""
     place = F.col("h").bitwiseXOR(F.pmod(F.col("doc_id"), F.lit(BITS)) * F.lit(0x9E3779B1)).bitwiseAND(F.lit(BITS - 1))
-    maps = (wanted.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("m"))
+    chosen = (wanted.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("m"))
             .agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(PER_MAP - 1))).alias("bits")).collect())
     whole = bytearray(BITS // 8)
-    for r in maps:
+    for r in chosen:
         whole[r["m"] * PER_MAP // 8:(r["m"] + 1) * PER_MAP // 8] = r["bits"]
     sent = docs.sparkSession.sparkContext.broadcast(bytes(whole))  # BITS / 8 bytes, whatever the input
 
@@ -190,17 +217,24 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         h.append(own)
                         ids.append(i)
                         lines.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ids, pa.int64()), pa.array(lines, pa.string())],
-                                             names=["h", "doc_id", "line"])
+            for k in range(0, len(lines), MAPPED):
+                some = lines[k:k + MAPPED]
+                rows = maps(some)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * (MAP // 64)), pa.array(rows.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[k:k + MAPPED], pa.int64()), pa.array(ids[k:k + MAPPED], pa.int64()), pa.array(some, pa.string()),
+                     pa.array([len(shingles(x)) for x in some], pa.int64()), bits,
+                     pa.array(np.bitwise_count(rows.view(np.uint64)).sum(1).astype(np.int64))], names=["h", "doc_id", "line", "n", "bits", "set"])
 
-    given = _texts(docs).mapInArrow(run, "h long, doc_id long, line string")
-    return materialise(given.join(wanted, ["h", "doc_id"], "left_semi").select("h", "line"), "line-texts")
+    given = _texts(docs).mapInArrow(run, "h long, doc_id long, line string, n long, bits array<bigint>, set long")
+    return materialise(given.join(wanted, ["h", "doc_id"], "left_semi").select(
+        "h", "line", F.struct("n", "bits", (F.col("n") - F.col("set")).alias("hidden")).alias("map")), "line-texts")
 
 
 def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``a``, ``b`` whose exact similarity reaches ``SIMILARITY``."""
-    left = texts.select(F.col("h").alias("a"), F.col("line").alias("x"))
-    right = texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
+    left = texts.select(F.col("h").alias("a"), F.col("line").alias("x"), F.col("map").alias("xm"))
+    right = texts.select(F.col("h").alias("b"), F.col("line").alias("y"), F.col("map").alias("ym"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +250,7 @@ def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in kept], pa.int64()), pa.array([b[k] for k in kept], pa.int64())],
                                              names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").where(may_be_alike("xm", "ym")).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def line_links(docs: DataFrame) -> DataFrame:
@@ -228,12 +262,13 @@ def line_links(docs: DataFrame) -> DataFrame:
     roots = connected_components(first, "line-links")
     marked = shared.join(roots, shared["h"] == roots["node"], "left").select("key", "h", F.coalesce("root", "h").alias("root"))
     split = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    apart = materialise(marked.join(split, "key"), "line-apart")
-    x = apart.select("key", F.col("h").alias("a"), F.col("root").alias("ra"))
-    y = apart.select("key", F.col("h").alias("b"), F.col("root").alias("rb"))
+    apart = materialise(marked.join(split, "key").join(texts.select("h", "map"), "h"), "line-apart")
+    x = apart.select("key", F.col("h").alias("a"), F.col("root").alias("ra"), F.col("map").alias("xm"))
+    y = apart.select("key", F.col("h").alias("b"), F.col("root").alias("rb"), F.col("map").alias("ym"))
     # The pivots are compared with all of their band already.
     compared = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b").distinct()
+    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb"))
+                   & may_be_alike("xm", "ym")).select("a", "b").distinct()
     more = materialise(alike(pairs.join(compared, ["a", "b"], "left_anti"), texts), "line-links")
     return connected_components(first.union(more), "line-links")
 

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import Isolated, fold, materialise, partitions
 
 FOLDS, HELD_OUT = 5, 1
-PART_TOKENS = 4_500_000
+PART_TOKENS = 1_500_000
 DISCOUNTED = 5
 SPARE_BITS = 17
 DOCS_A_ROW = 256

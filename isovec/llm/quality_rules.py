@@ -119,6 +119,7 @@ def metrics(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
         _long(F.size("q_lines")).alias("n_lines"),
         _long(F.size(F.filter("q_lines", lambda x: x.rlike("^[\\x20\\x09]*[-*•]")))).alias("n_bullet_lines"),
         _long(F.lit(1)).alias("one"),
+        F.monotonically_increasing_id().alias("q_row"),
     )
 
 
@@ -132,14 +133,15 @@ def quality_rules(docs: DataFrame, rules=RULES) -> DataFrame:
     """One row per document: ``doc_id``, the contract's counts, ``base_failed`` and ``kept``."""
     box = Isolated(docs)
     inner = box.df.select(box["doc_id"].alias("doc_id"), box["text"].alias("q_in"))
-    return judge(inner, F.col("q_in"), ["doc_id"], rules).drop("one")
+    return judge(inner, F.col("q_in"), ["doc_id"], rules).drop("one", "q_row")
 
 
 def filter_documents(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns they came with."""
     box = Isolated(docs)
     judged = judge(box.df, box["text"], box.inner, rules)
-    return box.restore(judged.where("kept"))
+    # The row number keeps the optimiser from moving the filter, and a copy of all metrics, below them.
+    return box.restore(judged.where("kept AND q_row >= 0"))
 
 
 METRICS_SQL = f"""

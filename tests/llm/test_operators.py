@@ -66,7 +66,8 @@ def test_quality_rules(docs, rows):
         assert (r["n_words"], r["word_chars"], r["n_repeat_words"], r["n_dup_lines"]) == (
             len(ws), sum(len(w.decode()) for w in ws), len(repeated), len(ls) - len(set(ls)))
         assert r["base_failed"] == (len(ws) < 20 or 100 * len(repeated) > 30 * len(ws))
-    assert quality_rules.filter_documents(docs).columns == docs.columns
+    kept = quality_rules.filter_documents(docs)
+    assert kept.columns == docs.columns and set(known(kept)) == {i for i, r in found.items() if r["kept"]}
     assert quality_rules.quality_rules(docs.limit(0)).count() == 0
 
 

@@ -204,7 +204,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(bytes(whole))  # BITS / 8 bytes, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
+        wanted_bits = sent.value
         for batch in batches:
             h, ids, lines = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -212,7 +212,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for _, line in lines_of(text):
                     own = line_hash(line)
                     p = _place(own, i % BITS)
-                    if bits[p >> 3] >> (p & 7) & 1 and own not in seen:
+                    if wanted_bits[p >> 3] >> (p & 7) & 1 and own not in seen:
                         seen.add(own)
                         h.append(own)
                         ids.append(i)

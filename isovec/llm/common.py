@@ -14,8 +14,6 @@ from ..shipping import ship
 
 #: Fixed by the word definition of the contracts: the six ASCII white-space characters.
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
-#: Spark's setting by which a query's shuffle files go on every executor when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WHITE_SPACE = " \t\n\x0b\f\r"
 
 
@@ -86,18 +84,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage: writes the frame once to the shared folder and reads it back.
 
     The files survive the loss of any executor. They are compressed, unlike
-    those of ``checkpoint()``. The shuffle files that the table was made from
-    go when it is written: nothing reads them after.
+    those of ``checkpoint()``. Nothing reads the shuffle files that the table was
+    made from after it is written: Spark removes them from all executors when the
+    driver's JVM finds their plan unreachable, hence the collection.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/isovec-{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+    df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

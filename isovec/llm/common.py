@@ -80,7 +80,17 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{scratch_root(spark)}/isovec-{label}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes scratch files that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def materialise(df: DataFrame, label: str, path: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Cuts lineage: writes the frame once to the shared folder and reads it back.
 
     The files survive the loss of any executor. They are compressed, unlike
@@ -89,7 +99,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     driver's JVM finds their plan unreachable, hence the collection.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/isovec-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = path or scratch_path(spark, label)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

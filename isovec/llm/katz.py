@@ -40,13 +40,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Isolated, fold, materialise, partitions
+from .common import Isolated, discard, fold, materialise, partitions, scratch_path
 
 FOLDS, HELD_OUT = 5, 1
 PART_TOKENS = 1_500_000
 DISCOUNTED = 5
 SPARE_BITS = 17
 DOCS_A_ROW = 256
+POINT = 44
 START, END = b" s", b" e"  # no word holds a space
 ROW = "part long, kind int, bucket int, doc_id long, held boolean, n long, a binary, b binary"
 NAMES = ["part", "kind", "bucket", "doc_id", "held", "n", "a", "b"]
@@ -71,6 +72,16 @@ def opened_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(opened(data, np.uint64), dtype=np.uint64)
 
 
+def shut_sums(pairs: np.ndarray, kept: np.ndarray, covered: np.ndarray) -> bytes:
+    """Sums by context. Only ``1 - covered`` is used, so that a fixed point of ``POINT`` bits gives all the digits there are."""
+    return shut(np.concatenate([pairs.astype(np.int64), kept.view(np.int64), np.rint(covered * 2.0 ** POINT).astype(np.int64)]))
+
+
+def opened_sums(data: bytes) -> np.ndarray:
+    pairs, kept, covered = opened(data, np.int64).reshape(3, -1)
+    return np.array([pairs.astype(np.float64), kept.view(np.float64), covered / 2.0 ** POINT])
+
+
 def pair_keys(hashes: np.ndarray, first: np.ndarray, second: np.ndarray, width: int) -> np.ndarray:
     """In place as far as can be: a part's arrays of all its tokens decide a task's memory."""
     h, other = hashes[first], hashes[second]
@@ -275,8 +286,10 @@ def score(docs: DataFrame) -> DataFrame:
     size = inner.agg(F.sum(F.length("text"))).first()[0] or 0  # characters; words are fewer
     width = min(63, max(24, math.ceil(math.log2(size / 4 + 2)) + SPARE_BITS))
     bits = math.ceil(math.log2(max(2, partitions(spark))))
-    own = materialise(parts(inner, width, bits), "katz-parts")
+    path, sums_path = scratch_path(spark, "katz-parts"), scratch_path(spark, "katz-sums")
+    own = materialise(parts(inner, width, bits), "katz-parts", path, by=("kind",))
     counted = materialise(own.where(F.col("kind").isin(WORDS, PAIRS)).groupBy("kind", "bucket").applyInPandas(totals, ROW), "katz-totals")
+    discard(spark, f"{path}/kind={PAIRS}")
 
     histograms = {WORDS: [0] * (DISCOUNTED + 4), PAIRS: [0] * (DISCOUNTED + 4)}
     for r in counted.where(F.col("kind") == HISTOGRAM).select("bucket", "a").toLocalIterator():
@@ -296,28 +309,28 @@ def score(docs: DataFrame) -> DataFrame:
         sums = [np.bincount(context, x, len(part.hashes)) for x in (count[use], _discounted(count[use], discount), chance[word])]
         out, begin = [], 0
         for r in part.by[WORDS]:
-            own = np.concatenate([s[begin:begin + r.n] for s in sums])
+            own = shut_sums(*(s[begin:begin + r.n] for s in sums))
             begin += r.n
-            out.append((r.part, SUMS, r.bucket, None, None, r.n, shut(own), None))
+            out.append((r.part, SUMS, r.bucket, None, None, r.n, own, None))
         return _frame(out)
 
     def summed(frame: pd.DataFrame) -> pd.DataFrame:
         rows, found, where = _merged(frame[frame["kind"] == WORDS])
-        sums = {r.part: opened(r.a, np.float64).reshape(3, -1) for r in frame[frame["kind"] == SUMS].itertuples(index=False)}
+        sums = {r.part: opened_sums(r.a) for r in frame[frame["kind"] == SUMS].itertuples(index=False)}
         given = np.concatenate([sums[r.part] for r in rows], axis=1)
         total = [np.bincount(where, x, len(found)) for x in given]
         out, begin = [], 0
         for r in rows:
             at = where[begin:begin + r.n]
             begin += r.n
-            out.append((r.part, SUM_TOTALS, r.bucket, None, None, r.n, shut(np.concatenate([t[at] for t in total])), None))
+            out.append((r.part, SUM_TOTALS, r.bucket, None, None, r.n, shut_sums(*(t[at] for t in total)), None))
         return _frame(out)
 
     def scored(frame: pd.DataFrame) -> pd.DataFrame:
         part = Part(frame, width)
         word_count = part.totals(WORD_TOTALS).astype(np.float64)
         chance = singles.of(word_count)
-        pairs, kept, covered = np.concatenate([opened(r.a, np.float64).reshape(3, -1) for r in part.by[SUM_TOTALS]], axis=1)
+        pairs, kept, covered = np.concatenate([opened_sums(r.a) for r in part.by[SUM_TOTALS]], axis=1)
         # What the seen pairs of a context leave, at least half a count; the seen ones are scaled to the rest.
         known = pairs > 0
         safe = np.where(known, pairs, 1)
@@ -342,7 +355,8 @@ def score(docs: DataFrame) -> DataFrame:
         })
 
     held = own.where(F.col("kind").isin(DOC, WORDS, RANKS))
-    sums = materialise(held.union(answers).groupBy("part").applyInPandas(context_sums, ROW), "katz-sums")
+    sums = materialise(held.union(answers).groupBy("part").applyInPandas(context_sums, ROW), "katz-sums", sums_path)
     contexts = materialise(own.where(F.col("kind") == WORDS).union(sums).groupBy("bucket").applyInPandas(summed, ROW), "katz-contexts")
+    discard(spark, sums_path)
     return held.union(answers).union(contexts).groupBy("part").applyInPandas(
         scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

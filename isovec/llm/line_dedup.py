@@ -108,7 +108,9 @@ def may_be_alike(x: str, y: str) -> Column:
     shared = sum((F.bit_count(F.get(f"{x}.bits", F.lit(k)).bitwiseAND(F.get(f"{y}.bits", F.lit(k)))) for k in range(1, MAP // 64)),
                  F.bit_count(F.get(f"{x}.bits", F.lit(0)).bitwiseAND(F.get(f"{y}.bits", F.lit(0)))))
     most = shared + F.least(f"{x}.hidden", f"{y}.hidden")
-    return most >= SIMILARITY * (F.col(f"{x}.n") + F.col(f"{y}.n") - most)
+    least, total = F.least(f"{x}.n", f"{y}.n"), F.col(f"{x}.n") + F.col(f"{y}.n")
+    bound = (SIMILARITY * total / (1 + SIMILARITY) - 1e-6).alias("bound")
+    return (least >= bound) & (most >= bound)
 
 
 def bands(lines: list[str]) -> np.ndarray:

@@ -13,7 +13,9 @@
 3. Components are joined by distributed union-find. The line of the smallest
    document id, there the first, stays.
 
-At similarity 0.8 a pair shares some band with probability 0.9992.
+At similarity 0.8 a pair shares some band with probability 0.9992. A word or two
+changed in a line costs few of its shingles of 5 characters. Lines that are not
+alike share some of them by chance; five values a band keep those apart.
 
 Lines' texts are read again only for lines in shared bands: a bitmap of fixed
 size (2 MB), built by aggregation, tells a second pass which to give.
@@ -28,6 +30,7 @@ by ``filter_documents``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +42,11 @@ from .common import Isolated, materialise
 from .graph import connected_components
 
 MIN_CHARS = 16
-SHINGLE = 10
-ROWS = 3
-BANDS = 10
+SHINGLE = 5
+ROWS = 5
+BANDS = 18
+#: Bands whose keys are dealt at a time: it bounds the shuffle files that stand beside the signatures.
+DEALT = 6
 SIMILARITY = 0.8
 BATCH_CHARS = 1_000_000
 #: Bits of a line's bitmap, and lines mapped at a time.
@@ -185,9 +190,13 @@ def shared_bands(docs: DataFrame) -> DataFrame:
     that most documents have), of bands with several distinct lines."""
     distinct = materialise(signed(docs).groupBy("h").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.min(f"k{b}").alias(f"k{b}") for b in range(BANDS))), "line-signatures")
-    rows = distinct.select("h", "doc_id", "n", F.explode(F.array(*(f"k{b}" for b in range(BANDS)))).alias("key"))
-    held = rows.groupBy("key").agg(F.count("*").alias("several"), F.max_by("h", "n").alias("pivot")).where("several > 1").select("key", "pivot")
-    return materialise(rows.join(held, "key").drop("n"), "line-bands")
+
+    def dealt(some: range) -> DataFrame:
+        rows = distinct.select("h", "doc_id", "n", F.explode(F.array(*(f"k{b}" for b in some))).alias("key"))
+        held = rows.groupBy("key").agg(F.count("*").alias("several"), F.max_by("h", "n").alias("pivot")).where("several > 1").select("key", "pivot")
+        return materialise(rows.join(held, "key").drop("n"), "line-bands")
+
+    return reduce(DataFrame.union, [dealt(range(b, min(b + DEALT, BANDS))) for b in range(0, BANDS, DEALT)])
 
 
 def _place(h: int, doc_id: int) -> int:

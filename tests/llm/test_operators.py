@@ -205,6 +205,29 @@ def test_line_dedup(docs, rows):
     assert kept.columns == docs.columns and 100 not in known(kept) and 5 in known(kept)
 
 
+def test_line_dedup_short_edits(spark):
+    """One letter or word edited in lines of 40 to 100 characters, against the similarity of their 5-character shingles."""
+    rng = random.Random(8)
+    data, like = [], {}
+    for i in range(60):
+        line = ""
+        while len(line) < 40 + i:
+            line += "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 8))) + " "
+        line = line[:40 + i]
+        k = rng.randrange(10, 25)
+        letter = line[:k] + "0" + line[k + 1:]
+        ws = line.split(" ")
+        ws[len(ws) // 2] = "edit"
+        data += [(i, line), (100 + i, letter), (200 + i, " ".join(ws))]
+        sets = [{x[j:j + 5] for j in range(len(x) - 4)} for x in (line, letter, " ".join(ws))]
+        near = [len(a & b) >= 0.8 * len(a | b) for a, b in ((sets[0], sets[1]), (sets[0], sets[2]), (sets[1], sets[2]))]
+        like[100 + i] = near[0] or near[1] and near[2]
+        like[200 + i] = near[1] or near[0] and near[2]
+    found = known(line_dedup.removed_lines(spark.createDataFrame(data, "doc_id long, text string")))
+    assert {i: r["removed_lines"] for i, r in found.items() if i >= 100} == {i: [0] if x else [] for i, x in like.items()}
+    assert sum(like[100 + i] for i in range(60)) > 45 and sum(like[200 + i] for i in range(60)) > 10
+
+
 def test_katz(docs, rows, monkeypatch):
     monkeypatch.setattr(katz, "PART_TOKENS", 300)
     found = known(katz.score(docs))

@@ -1,7 +1,8 @@
 """Fuzzy line deduplication (operator 6): of each component of near-equal lines one stays.
 
-1. Lines of at least ``MIN_CHARS`` characters are hashed; a line's MinHash of
-   ``BANDS * ROWS`` values over its character shingles is cut into bands.
+1. Lines are hashed; the MinHash of ``BANDS * ROWS`` values over the character
+   shingles of a line of at least ``SHINGLE`` characters is cut into bands.
+   A shorter line is like its equals only.
    Equal lines meet first, so that only distinct ones are compared.
 2. Distinct lines that share a band are candidates. Each is first compared with
    the band's pivot, the line that most documents have; the exact Jaccard
@@ -20,11 +21,11 @@ alike share some of them by chance; five values a band keep those apart.
 Lines' texts are read again only for lines in shared bands: a bitmap of fixed
 size (2 MB), built by aggregation, tells a second pass which to give.
 
-Edge cases: null texts have no lines; lines under ``MIN_CHARS`` stay as they
-are; rows of null id neither lose lines nor make others lose any; rows of one id
-and text are one document; an empty table gives an empty result; further columns
-of the input, also of clashing names, are ignored by ``removed_lines`` and kept
-by ``filter_documents``.
+Edge cases: null texts have no lines; lines of nothing but white space stay as
+they are, since they part paragraphs; rows of null id neither lose lines nor
+make others lose any; rows of one id and text are one document; an empty table
+gives an empty result; further columns of the input, also of clashing names, are
+ignored by ``removed_lines`` and kept by ``filter_documents``.
 """
 
 from __future__ import annotations
@@ -38,10 +39,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Isolated, materialise
+from .common import WHITE_SPACE, Isolated, materialise
 from .graph import connected_components
 
-MIN_CHARS = 16
 SHINGLE = 5
 ROWS = 5
 BANDS = 18
@@ -65,17 +65,23 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 def lines_of(text: str | None) -> Iterator[tuple[int, str]]:
     """The lines that take part, with their numbers."""
     for k, line in enumerate((text or "").split("\n")):
-        if len(line) >= MIN_CHARS:
+        if line.strip(WHITE_SPACE):
             yield k, line
 
 
+def compared(text: str | None) -> Iterator[str]:
+    """The lines that are long enough to be like others that do not equal them."""
+    return (line for _, line in lines_of(text) if len(line) >= SHINGLE)
+
+
 def line_hash(line: str) -> int:
     h = xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace"))
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
 def shingles(line: str) -> set[str]:
-    return {line[i:i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
+    """A line shorter than one is its own."""
+    return {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -156,7 +162,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """``h``, ``doc_id`` and the band keys ``k0`` ... of every distinct line of a document."""
+    """``h``, ``doc_id`` and the band keys ``k0`` ... of every distinct line of a document that ``compared`` gives."""
     names = [f"k{b}" for b in range(BANDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +175,7 @@ def signed(docs: DataFrame) -> DataFrame:
             ids, h, lines, size = [], [], [], 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen = set()
-                for _, line in lines_of(text):
+                for line in compared(text):
                     if (own := line_hash(line)) not in seen:
                         seen.add(own)
                         ids.append(i)
@@ -220,7 +226,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             h, ids, lines = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen = set()
-                for _, line in lines_of(text):
+                for line in compared(text):
                     own = line_hash(line)
                     p = _place(own, i % BITS)
                     if wanted_bits[p >> 3] >> (p & 7) & 1 and own not in seen:

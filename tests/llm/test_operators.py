@@ -228,6 +228,19 @@ def test_line_dedup_short_edits(spark):
     assert sum(like[100 + i] for i in range(60)) > 45 and sum(like[200 + i] for i in range(60)) > 10
 
 
+def test_line_dedup_short_lines(spark):
+    """Lines under 16 characters, of under 5 too: of equal ones the first stays, blank ones stay, a copy goes whole."""
+    long = "the river runs past the old stone bridge in the morning"
+    data = [(1, f"And ornd.\n\n{long}\nLes."), (2, f"And ornd.\n\n{long}\nLes."), (3, "Les.\nA line of 1 own.\n \nLes!\nab"), (4, "ab\nAnd ornd.\nab c"),
+            (5, None), (6, "\n\n")]
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    found = known(line_dedup.removed_lines(table))
+    assert {i: dict(zip(r["removed_lines"], r["kept_in"], strict=True)) for i, r in found.items()} == {
+        1: {}, 2: {0: 1, 2: 1, 3: 1}, 3: {0: 1}, 4: {0: 3, 1: 1}, 5: {}, 6: {}}
+    assert {i: r["text"] for i, r in known(line_dedup.filter_documents(table)).items()} == {
+        1: data[0][1], 3: "A line of 1 own.\n \nLes!\nab", 4: "ab c", 5: None, 6: "\n\n"}
+
+
 def test_katz(docs, rows, monkeypatch):
     monkeypatch.setattr(katz, "PART_TOKENS", 300)
     found = known(katz.score(docs))

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_SPACE, Isolated, materialise
+from .common import WHITE_SPACE, Isolated, discard, materialise, scratch_path
 from .graph import connected_components
 
 SHINGLE = 5
@@ -194,15 +194,19 @@ def signed(docs: DataFrame) -> DataFrame:
 def shared_bands(docs: DataFrame) -> DataFrame:
     """``key``, ``h``, ``doc_id`` (the least that has the line) and ``pivot`` (a line of the band
     that most documents have), of bands with several distinct lines."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "line-signatures")
     distinct = materialise(signed(docs).groupBy("h").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.min(f"k{b}").alias(f"k{b}") for b in range(BANDS))), "line-signatures")
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.min(f"k{b}").alias(f"k{b}") for b in range(BANDS))), "line-signatures", path)
 
     def dealt(some: range) -> DataFrame:
         rows = distinct.select("h", "doc_id", "n", F.explode(F.array(*(f"k{b}" for b in some))).alias("key"))
         held = rows.groupBy("key").agg(F.count("*").alias("several"), F.max_by("h", "n").alias("pivot")).where("several > 1").select("key", "pivot")
         return materialise(rows.join(held, "key").drop("n"), "line-bands")
 
-    return reduce(DataFrame.union, [dealt(range(b, min(b + DEALT, BANDS))) for b in range(0, BANDS, DEALT)])
+    found = reduce(DataFrame.union, [dealt(range(b, min(b + DEALT, BANDS))) for b in range(0, BANDS, DEALT)])
+    discard(spark, path)
+    return found
 
 
 def _place(h: int, doc_id: int) -> int:
@@ -248,10 +252,17 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         "h", "line", F.struct("n", "bits", (F.col("n") - F.col("set")).alias("hidden")).alias("map")), "line-texts")
 
 
+def likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``a``, ``b`` whose bitmaps allow ``SIMILARITY``, found before any text is shuffled."""
+    left = texts.select(F.col("h").alias("a"), F.col("map").alias("xm"))
+    right = texts.select(F.col("h").alias("b"), F.col("map").alias("ym"))
+    return materialise(pairs.join(left, "a").join(right, "b").where(may_be_alike("xm", "ym")).select("a", "b"), "line-likely")
+
+
 def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``a``, ``b`` whose exact similarity reaches ``SIMILARITY``."""
-    left = texts.select(F.col("h").alias("a"), F.col("line").alias("x"), F.col("map").alias("xm"))
-    right = texts.select(F.col("h").alias("b"), F.col("line").alias("y"), F.col("map").alias("ym"))
+    left = texts.select(F.col("h").alias("a"), F.col("line").alias("x"))
+    right = texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +278,7 @@ def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in kept], pa.int64()), pa.array([b[k] for k in kept], pa.int64())],
                                              names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").where(may_be_alike("xm", "ym")).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def line_links(docs: DataFrame) -> DataFrame:
@@ -275,7 +286,7 @@ def line_links(docs: DataFrame) -> DataFrame:
     shared = shared_bands(docs)
     texts = texts_of(docs, shared.select("h", "doc_id").distinct())
     stars = shared.where("h <> pivot").select(F.col("h").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = materialise(alike(stars, texts), "line-links")
+    first = materialise(alike(likely(stars, texts), texts), "line-links")
     roots = connected_components(first, "line-links")
     marked = shared.join(roots, shared["h"] == roots["node"], "left").select("key", "h", F.coalesce("root", "h").alias("root"))
     split = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Isolated, materialise, words
 
-SAMPLES = 32
+SAMPLES = 64
 BLOCKS = 256
 NAMES = [f"v{k}" for k in range(SAMPLES)]
 
@@ -89,7 +89,7 @@ def edited(text: Column, head: Column) -> Column:
 
 
 def _hex(codes: str) -> Column:
-    return F.array_join(F.transform(codes, lambda c: F.lpad(F.lower(F.hex(c)), 8, "0")), "")
+    return F.array_join(F.transform(codes, lambda c: F.lpad(F.lower(F.hex(c.cast("long").bitwiseAND(F.lit((1 << 32) - 1)))), 8, "0")), "")
 
 
 def _likeness(a: str, b: str) -> Column:
@@ -101,14 +101,12 @@ def _described(paired: DataFrame) -> DataFrame:
     both = paired.select("doc_id", "uid", "text", edited(F.col("text"), F.col("head")).alias("edit"))
     found = signatures(both, ["doc_id", "uid"], ["text", "edit"])
     facts = both.select("doc_id", "uid", F.length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"))
-    sides = found.groupBy("doc_id", "uid").agg(*(
-        F.min(F.when(F.col("side") == i, F.col(n))).alias(f"{p}_{n}") for i, p in enumerate(("own", "changed")) for n in NAMES))
-
-    def codes(p: str) -> Column:
-        return F.array(*(F.when(F.col(f"{p}_{n}").isNull(), F.lit(0)).otherwise(
-            F.xxhash64(f"{p}_{n}").bitwiseAND(F.lit((1 << 32) - 1))) for n in NAMES)).alias(p)
-
-    return facts.join(sides, ["doc_id", "uid"], "left").select("doc_id", "uid", "n_chars", "edited_sha256", codes("own"), codes("changed"))
+    # The lower 32 bits, as an array a side: a column a sample and side would be more than Spark compiles.
+    coded = found.select("doc_id", "uid", "side", F.array(*(
+        F.shiftright(F.shiftleft(F.xxhash64(n), 32), 32).cast("int") for n in NAMES)).alias("codes"))
+    sides = coded.groupBy("doc_id", "uid").agg(*(F.max(F.when(F.col("side") == i, F.col("codes"))).alias(p) for i, p in enumerate(("own", "changed"))))
+    none = F.array(*[F.lit(0)] * SAMPLES)
+    return facts.join(sides, ["doc_id", "uid"], "left").select("doc_id", "uid", "n_chars", "edited_sha256", *(F.coalesce(p, none).alias(p) for p in ("own", "changed")))
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -131,7 +129,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     alone = _described(lone.withColumn("doc_id", F.lit(0).cast("long"))).withColumn("doc_id", F.lit(None).cast("long"))
     following = order.join(held.select(F.col("doc_id").alias("next_id"), F.col("uid").alias("next_uid"), F.col("own").alias("next_own")),
                            ["next_id", "next_uid"]).select("doc_id", "next_own")
-    none = F.array(*[F.lit(0).cast("long")] * SAMPLES)
+    none = F.array(*[F.lit(0)] * SAMPLES)
     whole = held.join(following, "doc_id", "left").union(alone.withColumn("next_own", none))
     return whole.select("doc_id", "n_chars", "edited_sha256", _hex("own").alias("fingerprint"), _hex("changed").alias("edited_fingerprint"),
                         _likeness("own", "changed").alias("near_edited"), _likeness("own", "next_own").alias("near_next"))

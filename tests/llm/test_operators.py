@@ -146,6 +146,21 @@ def test_weighted_minhash(docs, rows):
     assert weighted_minhash.fingerprint(docs.limit(0)).count() == 0
 
 
+def test_weighted_minhash_error(spark):
+    """The error of the likeness is that of 64 samples by the binomial; half as many have 1.41 times it."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([*EN, *(f"{w}s" for w in EN), *DE], k=60)) for _ in range(600)]
+    found = known(weighted_minhash.fingerprint(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    off, due = [], []
+    for i, t in enumerate(texts):
+        follow, half = texts[i - 1], len(t) // 2
+        a, b = Counter(words(t)), Counter(words(t[:len(t) - half] + follow[:half]))
+        j = sum((a & b).values()) / sum((a | b).values())
+        off.append((found[i]["near_edited"] - j) ** 2)
+        due.append(j * (1 - j) / 64)
+    assert sum(off) < 1.2 ** 2 * sum(due)
+
+
 def fingerprint(t):
     ws = [w.decode() for w in (t or "").encode().lower().split()]
     parts = [" ".join(ws[k:k + 3]) for k in range(len(ws) - 2)] or ([" ".join(ws)] if ws else [])

@@ -44,7 +44,7 @@ class Rule(NamedTuple):
 
 #: The production table. Metrics are the columns of ``metrics``; ``one`` is 1.
 RULES = (
-    Rule("length_words", "n_words", "one", 2000, 10_000_000),
+    Rule("length_words", "n_words", "one", 2000, None),
     Rule("word_length", "word_chars", "n_words", 250, 1000),
     Rule("symbols_per_word", "n_symbols", "n_words", None, 10),
     Rule("exclamations_per_word", "n_exclamations", "n_words", None, 30),

@@ -71,6 +71,14 @@ def test_quality_rules(docs, rows):
     assert quality_rules.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_quality_rules_long_text(spark):
+    """A clean text is not rejected for its length."""
+    rng = random.Random(4)
+    long = "\n".join(" ".join(rng.choice(EN) + f"{rng.randrange(9999)}" if k % 4 else "the" for k in range(20)) for _ in range(5100))
+    found = known(quality_rules.quality_rules(spark.createDataFrame([(1, long)], "doc_id long, text string")))
+    assert found[1]["n_words"] == 102000 and found[1]["kept"]
+
+
 def test_language_id(docs, rows):
     found = known(language_id.identify(docs))
     assert all(found[i]["lang_pred"] == lang for i, _, lang in rows if lang)

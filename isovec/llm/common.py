@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,13 +74,21 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+@lru_cache(maxsize=8)
+def _own_root(application: str) -> str:
+    root = tempfile.mkdtemp(prefix="isovec-scratch-")
+    atexit.register(shutil.rmtree, root, True)
+    return root
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where it names none (tests)."""
+    """The shared folder that the cluster names. A temporary one serves only where
+    there is no cluster: there every executor runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="isovec-scratch-")
-        atexit.register(shutil.rmtree, root, True)
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
+        root = _own_root(spark.sparkContext.applicationId)
     return root.rstrip("/")
 
 
@@ -90,16 +102,32 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, the files of a query's shuffles go when the query ends."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def materialise(df: DataFrame, label: str, path: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Cuts lineage: writes the frame once to the shared folder and reads it back.
 
     The files survive the loss of any executor. They are compressed, unlike
-    those of ``checkpoint()``. Nothing reads the shuffle files that the table was
-    made from after it is written: Spark removes them from all executors when the
-    driver's JVM finds their plan unreachable, hence the collection.
+    those of ``checkpoint()``. The shuffle files that the table was made from go
+    as soon as it is written, since nothing reads them again.
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, label)
-    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    with _cleaning(spark):
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)

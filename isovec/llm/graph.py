@@ -3,9 +3,13 @@
 Each partition first joins its own links with a union-find and keeps one star a
 tree. Then large-star and small-star rounds hook every node to the least node
 that it sees until nothing changes; a round's links are written to the shared
-folder, so that lineage stays short and lost executors cost one round at most.
-Neither links nor components ever reach the driver, which sees a count and a
-checksum a round.
+folder, so that lineage stays short and lost executors cost one round at most,
+and those of the round before are deleted. Neither links nor components ever
+reach the driver, which sees a count and a checksum a round.
+
+The root of a giant component is one join key. Only one row of it stands on the
+joins' other side, so that its rows can be split over tasks, as Spark's skew
+join does; minima by node are combined before they are shuffled.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import materialise
+from .common import discard, materialise, scratch_path
 
 #: Links joined at a time in one task: the bound of its union-find.
 FOREST = 500_000
@@ -46,20 +50,21 @@ class UnionFind:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    own = UnionFind()
+    own, kind = UnionFind(), None
 
     def stars() -> pa.RecordBatch:
         pairs = [(x, r) for x in list(own.parent) if (r := own.find(x)) != x]
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([r for _, r in pairs], pa.int64())],
-                                          names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], kind), pa.array([r for _, r in pairs], kind)], names=["a", "b"])
 
     for batch in batches:
+        kind = batch.column(0).type
         for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own.union(x, y)
         if len(own.parent) > FOREST:
             yield stars()
             own = UnionFind()
-    yield stars()
+    if own.parent:
+        yield stars()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -67,12 +72,14 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def connected_components(links: DataFrame, label: str = "links") -> DataFrame:
-    """From links (two long columns) to ``node``, ``root``: the least node of its
-    component, for every node that is not a root itself. Nulls link nothing."""
-    ship(links.sparkSession)
+    """From links (two columns of one kind, long or binary) to ``node``, ``root``: the
+    least node of its component, for every node that is not a root itself. Nulls link nothing."""
+    spark = links.sparkSession
+    ship(spark)
     a, b = links.columns
-    clean = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    edges = materialise(clean.mapInArrow(_forest, "a long, b long").distinct(), label)  # a > b
+    clean = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
+    path = scratch_path(spark, label)
+    edges = materialise(clean.mapInArrow(_forest, clean.schema).distinct(), label, path)  # a > b
     state = _state(edges)
     while state[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -81,7 +88,9 @@ def connected_components(links: DataFrame, label: str = "links") -> DataFrame:
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select(F.inline(F.array(
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b"))))).where("a <> b").distinct()
-        edges = materialise(small, label)
+        old, path = path, scratch_path(spark, label)
+        edges = materialise(small, label, path)
+        discard(spark, old)
         before, state = state, _state(edges)
         if before == state:
             break

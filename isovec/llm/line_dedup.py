@@ -1,66 +1,93 @@
 """Fuzzy line deduplication (operator 6): of each component of near-equal lines one stays.
 
-1. Lines are hashed; the MinHash of ``BANDS * ROWS`` values over the character
-   shingles of a line of at least ``SHINGLE`` characters is cut into bands.
+1. A task reads its documents once, in *parts* of ``PART_CHARS`` characters. A
+   part's distinct lines of at least ``SHINGLE`` characters are signed: the MinHash
+   of ``BANDS * ROWS`` values over their character shingles is cut into bands, each
+   of which gives a key of 48 bits. A part's keys are sorted, dealt into buckets
+   and kept as compressed arrays beside its compressed lines.
    A shorter line is like its equals only.
-   Equal lines meet first, so that only distinct ones are compared.
-2. Distinct lines that share a band are candidates. Each is first compared with
-   the band's pivot, the line that most documents have; the exact Jaccard
-   similarity of the shingle sets decides. After joining what is alike, bands
-   that still hold lines of several components compare those across components,
-   all of them. So every candidate pair is compared or already connected. The
-   join itself leaves out pairs whose bitmaps prove them unlike, so that a band
-   of thousands of variants that are not alike makes no rows of their square.
-3. Components are joined by distributed union-find. The line of the smallest
-   document id, there the first, stays.
+2. A bucket merges the keys of all parts and tells each part which of its keys
+   stand for several different lines; a tag of 16 bits tells lines apart, so that
+   one in 65,536 pairs passes for equal there. Other keys go no further, nor do
+   the texts of lines that have no other.
+3. The lines of a shared key are candidates. Each is first compared with the key's
+   pivot, one of its lines; the exact Jaccard similarity of the shingle sets
+   decides. What is alike is joined. Lines of a key that still belong to several
+   components then meet in blocks of ``BLOCK_LINES``, two blocks at a time, and
+   those of different components are compared. So every candidate pair is compared
+   or already connected, and no row is made for a pair of the second kind.
+4. Components are joined by distributed union-find. The line that comes first, by
+   document id and number, stays.
 
 At similarity 0.8 a pair shares some band with probability 0.9992. A word or two
 changed in a line costs few of its shingles of 5 characters. Lines that are not
-alike share some of them by chance; five values a band keep those apart.
+alike share some of them by chance; five values a band keep those apart. Blocks
+that meet are the square of a key's lines over ``BLOCK_LINES``: this is where a key
+of very many lines that are *not* alike costs most.
 
-Lines' texts are read again only for lines in shared bands: a bitmap of fixed
-size (2 MB), built by aggregation, tells a second pass which to give.
+A line is known by 128 bits of XXH3. A line repeated in a billion documents is one
+row a part where lines are compared, is counted before it is shuffled, and meets
+one row in the join that tells its documents, which splits over tasks. So do the
+lines of a hot key where they meet their pivot.
 
 Edge cases: null texts have no lines; lines of nothing but white space stay as
-they are, since they part paragraphs; rows of null id neither lose lines nor
-make others lose any; rows of one id and text are one document; an empty table
-gives an empty result; further columns of the input, also of clashing names, are
-ignored by ``removed_lines`` and kept by ``filter_documents``.
+they are, since they part paragraphs; lines of any length are compared whole, long
+ones in blocks of fewer lines (``BLOCK_CHARS``); of equal lines the first stays;
+rows of null id neither lose lines nor make others lose any; rows of one id and
+text are one document; lines at one place of rows of one id are not told apart
+where both would stay; an empty table gives an empty result; further columns of
+the input, also of clashing names, are ignored by ``removed_lines`` and kept by
+``filter_documents``.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WHITE_SPACE, Isolated, discard, materialise, scratch_path
-from .graph import connected_components
+from .graph import UnionFind, connected_components
 
 SHINGLE = 5
 ROWS = 5
 BANDS = 18
-#: Bands whose keys are dealt at a time: it bounds the shuffle files that stand beside the signatures.
-DEALT = 6
 SIMILARITY = 0.8
-BATCH_CHARS = 1_000_000
-#: Bits of a line's bitmap, and lines mapped at a time.
-MAP = 2048
-MAPPED = 1000
-#: Bits of the bitmap that prunes the second reading; more lines only prune less.
-BITS = 1 << 24
-PER_MAP = 32768
+#: Characters of the lines that a task holds at a time, and of those that it signs at a time.
+PART_CHARS = 24_000_000
+SIGNED_CHARS = 1_000_000
+#: Shingles of a column, and columns whose values are computed together, which should fit a core's cache.
+COLUMN = 32
+COLUMNS = 2048
+KEY_BITS = 48
+#: Keys that a bucket is to merge.
+BUCKET_KEYS = 2_000_000
+BLOCK_LINES = 512
+BLOCK_CHARS = 2_000_000
+LINES_A_ROW = 4096
+#: Lines whose components a task remembers while it compares blocks.
+KNOWN = 200_000
+#: Groups of more lines are compared by bitmaps in place of sets.
+FEW = 6
 
 _SEEDS = np.random.default_rng(20240607)
 _MULTIPLIERS = (_SEEDS.integers(0, 1 << 31, BANDS * ROWS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _MASKS = _SEEDS.integers(0, 1 << 32, BANDS * ROWS).astype(np.uint32)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
+ROW = "kind int, part long, bucket int, h binary, doc_id long, line_no int, n long, a binary, b binary"
+SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("bucket", pa.int32()), ("h", pa.binary()), ("doc_id", pa.int64()), ("line_no", pa.int32()),
+                    ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+PLACES, KEYS, HOLDERS, LINES, SHARED = range(5)
+
 
 def lines_of(text: str | None) -> Iterator[tuple[int, str]]:
     """The lines that take part, with their numbers."""
@@ -69,16 +96,6 @@ def lines_of(text: str | None) -> Iterator[tuple[int, str]]:
             yield k, line
 
 
-def compared(text: str | None) -> Iterator[str]:
-    """The lines that are long enough to be like others that do not equal them."""
-    return (line for _, line in lines_of(text) if len(line) >= SHINGLE)
-
-
-def line_hash(line: str) -> int:
-    h = xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace"))
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
 def shingles(line: str) -> set[str]:
     """A line shorter than one is its own."""
     return {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
@@ -90,229 +107,450 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def rolled(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A 32-bit hash of every shingle, line after line; where each line's begin, and how many it has."""
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    lengths = np.array([len(x) for x in lines])
-    starts = np.cumsum(lengths) - lengths
+def rolled(points: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of the shingle that starts at every code point but the last ones."""
     value = np.zeros(len(points) - SHINGLE + 1, np.uint64)
     for k in range(SHINGLE):
         value *= _ODD
         value += points[k:k + len(value)]
-    own = lengths - SHINGLE + 1
-    first = np.cumsum(own) - own
-    inside = np.arange(own.sum()) + np.repeat(starts - first, own)  # without shingles that cross lines
-    return (_mixed(value[inside]) >> np.uint64(32)).astype(np.uint32), first, own
-
-
-def maps(lines: list[str]) -> np.ndarray:
-    """A bitmap of ``MAP`` bits a line, in which each of its shingles sets one, as 64-bit integers."""
-    short, _, own = rolled(lines)
-    bits = np.zeros(len(lines) * MAP, bool)
-    bits[np.repeat(np.arange(len(lines)) * MAP, own) + short // np.uint32((1 << 32) // MAP)] = True
-    return np.packbits(bits.reshape(len(lines), MAP), axis=1).view(np.int64)
-
-
-def may_be_alike(x: str, y: str) -> Column:
-    """False only where two lines cannot reach ``SIMILARITY``: they share at most as many shingles as
-    their bitmaps share bits, and the fewer of the shingles that found their bit set already."""
-    shared = sum((F.bit_count(F.get(f"{x}.bits", F.lit(k)).bitwiseAND(F.get(f"{y}.bits", F.lit(k)))) for k in range(1, MAP // 64)),
-                 F.bit_count(F.get(f"{x}.bits", F.lit(0)).bitwiseAND(F.get(f"{y}.bits", F.lit(0)))))
-    most = shared + F.least(f"{x}.hidden", f"{y}.hidden")
-    least, total = F.least(f"{x}.n", f"{y}.n"), F.col(f"{x}.n") + F.col(f"{y}.n")
-    bound = (SIMILARITY * total / (1 + SIMILARITY) - 1e-6).alias("bound")
-    return (least >= bound) & (most >= bound)
-
-
-def bands(lines: list[str]) -> np.ndarray:
-    """A 64-bit key a line and band."""
-    short, first, _ = rolled(lines)
-    least = np.empty((BANDS * ROWS, len(lines)), np.uint64)
-    for k in range(BANDS * ROWS):
-        least[k] = np.minimum.reduceat((short ^ _MASKS[k]) * _MULTIPLIERS[k], first)
-    out = np.empty((len(lines), BANDS), np.int64)
+    return (_mixed(value) >> np.uint64(32)).astype(np.uint32)
+
+
+def least_values(short: np.ndarray, first: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """MinHash values (value, line) of lines whose ``own`` shingles begin at ``first``.
+
+    Lines are laid out in columns of ``COLUMN`` shingles, the last one filled up
+    with its last shingle, so that a minimum is taken over many columns at once."""
+    columns = -(-own // COLUMN)
+    begin = np.cumsum(columns) - columns
+    line = np.repeat(np.arange(len(own)), columns)
+    start = first[line] + (np.arange(len(line)) - begin[line]) * COLUMN
+    last = first[line] + own[line] - 1
+    out = np.empty((BANDS * ROWS, len(line)), np.uint32)
+    for k in range(0, len(line), COLUMNS):
+        held = short[np.minimum(start[k:k + COLUMNS] + np.arange(COLUMN)[:, None], last[k:k + COLUMNS])]
+        work = np.empty_like(held)
+        for v in range(BANDS * ROWS):
+            np.bitwise_xor(held, _MASKS[v], out=work)
+            np.multiply(work, _MULTIPLIERS[v], out=work)
+            np.minimum.reduce(work, axis=0, out=out[v, k:k + COLUMNS])
+    return np.minimum.reduceat(out, begin, axis=1)
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
+    """A key of ``KEY_BITS`` a line and band, for lines of ``SHINGLE`` characters or more."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32)
+    lengths = np.array([len(x) for x in lines])
+    least = least_values(rolled(points), np.cumsum(lengths) - lengths, lengths - SHINGLE + 1)
+    out = np.empty((len(lines), BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(lines), b + 1, np.uint64)
         for row in least[b * ROWS:(b + 1) * ROWS]:
             key = _mixed(key * _ODD + row)
-        out[:, b] = key.view(np.int64)
+        out[:, b] = key >> np.uint64(64 - KEY_BITS)
     return out
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    box = Isolated(docs)
-    return box.df.select(box["doc_id"].cast("long").alias("doc_id"), box["text"].alias("text")).where("doc_id IS NOT NULL")
-
-
-def occurrences(docs: DataFrame) -> DataFrame:
-    """``h``, ``doc_id``, ``line_no`` of every line that takes part."""
+def shut(x: np.ndarray) -> bytes:
+    """Compressed by byte planes, which keeps small numbers small."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+
+
+def opened(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _rows(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, SCHEMA)
+
+
+class Part:
+    """Distinct lines of some documents, in order of arrival."""
+
+    def __init__(self, number: int, bits: int):
+        self.number, self.bits = number, bits
+        self.index: dict[bytes, int] = {}
+        self.lines: list[str] = []
+        self.keys: list[np.ndarray] = []
+        self.signed = self.chars = self.waiting = 0
+
+    def add(self, h: bytes, line: str) -> None:
+        if h not in self.index and len(line) >= SHINGLE:
+            self.index[h] = len(self.lines)
+            self.lines.append(line)
+            self.chars += len(line)
+            self.waiting += len(line)
+            if self.waiting >= SIGNED_CHARS:
+                self.sign()
+
+    def sign(self) -> None:
+        if self.signed < len(self.lines):
+            self.keys.append(band_keys(self.lines[self.signed:]))
+            self.signed, self.waiting = len(self.lines), 0
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """The keys by bucket, which line holds each, and the lines."""
+        self.sign()
+        if not self.lines:
+            return
+        hashes = list(self.index)
+        tags = np.frombuffer(b"".join(h[:2] for h in hashes), "<u2")
+        size = np.array([len(x).bit_length() for x in self.lines], np.uint8)
+        keys = np.concatenate(self.keys).ravel()
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        holder = (order // BANDS).astype(np.uint32)
+        edges = np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(KEY_BITS - self.bits)
+        bounds = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+        out = []
+        for b, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            if y > x:
+                own = holder[x:y]
+                both = np.empty(y - x, [("tag", "<u2"), ("size", "u1")])
+                both["tag"], both["size"] = tags[own], size[own]
+                out.append({"kind": KEYS, "part": self.number, "bucket": b, "n": y - x, "a": shut(np.diff(keys[x:y], prepend=np.uint64(0))), "b": shut(both)})
+                out.append({"kind": HOLDERS, "part": self.number, "bucket": b, "n": y - x, "a": shut(own)})
+        yield _rows(out)
+        for k in range(0, len(hashes), LINES_A_ROW):
+            text = "\n".join(self.lines[k:k + LINES_A_ROW]).encode("utf-8", "replace")
+            yield _rows([{"kind": LINES, "part": self.number, "bucket": k // LINES_A_ROW, "n": len(hashes[k:k + LINES_A_ROW]),
+                          "a": zstandard.compress(text, 3), "b": b"".join(hashes[k:k + LINES_A_ROW])}])
+
+
+def parts(docs: DataFrame, bits: int) -> DataFrame:
+    """Rows of all parts, and one of kind ``PLACES`` for every line that takes part: ``h``, ``doc_id``, ``line_no``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
+        part = Part(number, bits)
         for batch in batches:
             h, ids, numbers = [], [], []
+
+            def places() -> pa.RecordBatch:
+                n = len(h)
+                return pa.RecordBatch.from_arrays(
+                    [pa.array([PLACES] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(h, pa.binary()), pa.array(ids, pa.int64()),
+                     pa.array(numbers, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=SCHEMA)
+
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for k, line in lines_of(text):
-                    h.append(line_hash(line))
+                    own = xxhash.xxh3_128_digest(line.encode("utf-8", "replace"))
+                    h.append(own)
                     ids.append(i)
                     numbers.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())],
-                                             names=["h", "doc_id", "line_no"])
-
-    return _texts(docs).mapInArrow(run, "h long, doc_id long, line_no int")
-
-
-def signed(docs: DataFrame) -> DataFrame:
-    """``h``, ``doc_id`` and the band keys ``k0`` ... of every distinct line of a document that ``compared`` gives."""
-    names = [f"k{b}" for b in range(BANDS)]
+                    part.add(own, line)
+                    if part.chars >= PART_CHARS:
+                        yield from part.rows()
+                        number += 1
+                        part = Part(number, bits)
+            yield places()
+        yield from part.rows()
+
+    return docs.mapInArrow(run, ROW)
+
+
+TOLD = np.dtype([("at", "<u4"), ("key", "<u8"), ("blocks", "<u4"), ("pivot", "u1"), ("many", "u1")])
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Of one bucket's keys: which of each part stand for several lines, in how many blocks, of more than two, and whether the part's line is the pivot."""
+    rows = sorted(table.select(["part", "bucket", "n", "a", "b"]).to_pylist(), key=lambda r: r["part"])
+    keys = np.concatenate([np.cumsum(opened(r["a"], np.uint64), dtype=np.uint64) for r in rows])
+    facts = np.concatenate([opened(r["b"], np.dtype([("tag", "<u2"), ("size", "u1")])) for r in rows])
+    begins = np.cumsum([0, *(r["n"] for r in rows)])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    tags = facts["tag"][order]
+    held = np.diff(np.append(new, len(keys)))
+    chars = np.add.reduceat(np.left_shift(1, facts["size"][order].astype(np.int64)), new)
+    blocks = np.maximum(-(-held // BLOCK_LINES), -(-chars // BLOCK_CHARS))
+    several = np.repeat(np.minimum.reduceat(tags, new) != np.maximum.reduceat(tags, new), held)
+    first = np.zeros(len(keys), bool)
+    first[new] = True
+    back = np.empty(len(order), np.int64)  # for each place, where it stands among the sorted keys
+    back[order] = np.arange(len(order))
+    out = []
+    blocks, many = np.repeat(blocks, held), np.repeat(held > 2, held)
+    for r, x, y in zip(rows, begins, begins[1:], strict=False):
+        at = np.flatnonzero(several[back[x:y]])
+        if len(at):
+            own = back[x + at]
+            told = np.empty(len(at), TOLD)
+            told["at"], told["key"], told["blocks"], told["pivot"], told["many"] = at, keys[own], blocks[own], first[own], many[own]
+            out.append({"kind": SHARED, "part": r["part"], "bucket": r["bucket"], "n": len(at), "a": shut(told)})
+    return pa.Table.from_pylist(out, SCHEMA)
+
+
+CANDIDATE = pa.schema([("text", pa.bool_()), ("key", pa.int64()), ("blocks", pa.int64()), ("pivot", pa.bool_()), ("many", pa.bool_()), ("h", pa.binary()),
+                       ("line", pa.binary())])
+
+
+def _given(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Of a part: its lines' shared keys, and once the text of each such line."""
+    by = defaultdict(list)
+    for r in rows:
+        by[r["kind"]].append(r)
+    if not by[SHARED]:
+        return
+    place = {r["bucket"]: opened(r["a"], np.uint32) for r in by[HOLDERS]}
+    told = {r["bucket"]: opened(r["a"], TOLD) for r in by[SHARED]}
+    held = {b: place[b][t["at"]] for b, t in told.items()}
+    chunks = sorted(by[LINES], key=lambda r: r["bucket"])
+    hashes = [r["b"][16 * k:16 * k + 16] for r in chunks for k in range(r["n"])]
+    for b, t in told.items():
+        n = len(t)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.zeros(n, bool)), pa.array(t["key"].astype(np.int64)), pa.array(t["blocks"].astype(np.int64)), pa.array(t["pivot"] > 0), pa.array(t["many"] > 0),
+             pa.array([hashes[i] for i in held[b].tolist()], pa.binary()), pa.nulls(n, pa.binary())], schema=CANDIDATE)
+    wanted = np.unique(np.concatenate(list(held.values())))
+    for k, r in enumerate(chunks):
+        own = wanted[(wanted >= k * LINES_A_ROW) & (wanted < (k + 1) * LINES_A_ROW)].tolist()
+        if own:
+            lines = zstandard.decompress(r["a"]).split(b"\n")
+            n = len(own)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.ones(n, bool)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.bool_()),
+                 pa.array([hashes[i] for i in own], pa.binary()), pa.array([lines[i - k * LINES_A_ROW] for i in own], pa.binary())], schema=CANDIDATE)
+
+
+def candidates(told: DataFrame) -> DataFrame:
+    """From the rows of parts of kinds ``HOLDERS``, ``LINES``, ``SHARED``: rows ``key``, ``blocks``, ``pivot``, ``many``
+    (more than two), ``h`` for each shared key of a line, and rows with ``text`` set of ``h``, ``line``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(ids: list[int], h: list[int], lines: list[str]) -> pa.RecordBatch:
-            keys = bands(lines)
-            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ids, pa.int64()), *(pa.array(c) for c in keys.T)],
-                                              names=["h", "doc_id", *names])
-
+        rows: list[dict] = []
         for batch in batches:
-            ids, h, lines, size = [], [], [], 0
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = set()
-                for line in compared(text):
-                    if (own := line_hash(line)) not in seen:
-                        seen.add(own)
-                        ids.append(i)
-                        h.append(own)
-                        lines.append(line)
-                        size += len(line)
-                        if size >= BATCH_CHARS:
-                            yield made(ids, h, lines)
-                            ids, h, lines, size = [], [], [], 0
-            if lines:
-                yield made(ids, h, lines)
-
-    return _texts(docs).mapInArrow(run, "h long, doc_id long, " + ", ".join(f"{n} long" for n in names))
-
-
-def shared_bands(docs: DataFrame) -> DataFrame:
-    """``key``, ``h``, ``doc_id`` (the least that has the line) and ``pivot`` (a line of the band
-    that most documents have), of bands with several distinct lines."""
-    spark = docs.sparkSession
-    path = scratch_path(spark, "line-signatures")
-    distinct = materialise(signed(docs).groupBy("h").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.min(f"k{b}").alias(f"k{b}") for b in range(BANDS))), "line-signatures", path)
+            for row in batch.to_pylist():
+                if rows and rows[-1]["part"] != row["part"]:
+                    yield from _given(rows)
+                    rows = []
+                rows.append(row)
+        yield from _given(rows)
+
+    held = told.select("kind", "part", "bucket", "n", "a", "b").repartition("part").sortWithinPartitions("part")
+    return held.mapInArrow(run, "text boolean, key long, blocks long, pivot boolean, many boolean, h binary, line binary")
+
+
+def codes(lines: list[str]) -> list[np.ndarray]:
+    """The distinct shingles of each line, of ``SHINGLE`` characters or more, as sorted numbers that no two shingles share."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32)
+    present = np.zeros(0x110000, bool)
+    present[points] = True
+    chars = np.flatnonzero(present)
+    if len(chars) ** SHINGLE < 1 << 64:
+        rank = np.zeros(0x110000, np.uint16)
+        rank[chars] = np.arange(len(chars))
+        digits = rank[points].astype(np.uint64)
+        value = digits[:len(digits) - SHINGLE + 1].copy()
+        for k in range(1, SHINGLE):
+            value *= np.uint64(len(chars))
+            value += digits[k:k + len(value)]
+    else:
+        windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(points, SHINGLE)).view(f"V{4 * SHINGLE}").ravel()
+        value = np.unique(windows, return_inverse=True)[1].astype(np.uint64)
+    out, at = [], 0
+    for line in lines:
+        own = value[at:at + len(line) - SHINGLE + 1]
+        own.sort()
+        out.append(own[np.append(True, own[1:] != own[:-1])])
+        at += len(line)
+    return out
 
-    def dealt(some: range) -> DataFrame:
-        rows = distinct.select("h", "doc_id", "n", F.explode(F.array(*(f"k{b}" for b in some))).alias("key"))
-        held = rows.groupBy("key").agg(F.count("*").alias("several"), F.max_by("h", "n").alias("pivot")).where("several > 1").select("key", "pivot")
-        return materialise(rows.join(held, "key").drop("n"), "line-bands")
 
-    found = reduce(DataFrame.union, [dealt(range(b, min(b + DEALT, BANDS))) for b in range(0, BANDS, DEALT)])
-    discard(spark, path)
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sorted sets reaches ``SIMILARITY``."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) < SIMILARITY * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int(np.count_nonzero(y[at] == x))
+    return both >= SIMILARITY * (len(x) + len(y) - both)
+
+
+def compare(sets: list[np.ndarray], root: list, block: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect just what all links of sets of different roots (and blocks) would."""
+    names = {r: k for k, r in enumerate(dict.fromkeys(root))}
+    label = np.array([names[r] for r in root])
+    found = []
+    if len(sets) <= FEW:
+        for i in range(1, len(sets)):
+            for j in range(i):
+                if label[i] != label[j] and (block is None or block[i] != block[j]) and alike(sets[i], sets[j]):
+                    found.append((i, j))
+                    label[label == label[j]] = label[i]
+        return found
+    # A bit for every shingle that several of the sets have: what two of them share is counted exactly.
+    sizes = np.array([len(x) for x in sets])
+    _, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    width = -(-(int(number[-1]) + 1) // 64) * 64
+    packed = np.empty((len(sets), max(64, width) // 8), np.uint8)
+    at = 0
+    for i, n in enumerate(sizes.tolist()):
+        own = which[at:at + n]
+        at += n
+        row = np.zeros(max(64, width), bool)
+        row[number[own[times[own] > 1]]] = True
+        packed[i] = np.packbits(row)
+    packed = packed.view(np.uint64)
+    parted = None if block is None else np.array(block)
+    for i in range(1, len(sets)):
+        apart = label[:i] != label[i]
+        if parted is not None:
+            apart &= parted[:i] != parted[i]
+        near = np.flatnonzero(apart & (np.minimum(sizes[:i], sizes[i]) >= SIMILARITY * np.maximum(sizes[:i], sizes[i])))
+        if not len(near):
+            continue
+        both = np.bitwise_count(packed[near] & packed[i]).sum(1, dtype=np.int64)
+        for j in near[both >= SIMILARITY * (sizes[near] + sizes[i] - both)].tolist():
+            if label[j] != label[i]:
+                found.append((i, j))
+                label[label == label[j]] = label[i]
     return found
 
 
-def _place(h: int, doc_id: int) -> int:
-    return (h ^ (doc_id * 0x9E3779B1)) & (BITS - 1)
+def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
+    """Rows that agree in the first ``width`` columns, from batches sorted by them."""
+    held: list[tuple] = []
+    for batch in batches:
+        rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for key, some in groupby(rows, key=lambda r: r[:width]):
+            if held and held[0][:width] != key:
+                yield held
+                held = []
+            held += some
+    if held:
+        yield held
+
 
+def _linked(a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``h``, ``line`` and ``map`` (shingles ``n``, ``bits``, ``hidden``: shingles beyond the bits that are set)
-    for the lines ``wanted`` (``h`` and a document that has it)."""
-    place = F.col("h").bitwiseXOR(F.pmod(F.col("doc_id"), F.lit(BITS)) * F.lit(0x9E3779B1)).bitwiseAND(F.lit(BITS - 1))
-    chosen = (wanted.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("m"))
-            .agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(PER_MAP - 1))).alias("bits")).collect())
-    whole = bytearray(BITS // 8)
-    for r in chosen:
-        whole[r["m"] * PER_MAP // 8:(r["m"] + 1) * PER_MAP // 8] = r["bits"]
-    sent = docs.sparkSession.sparkContext.broadcast(bytes(whole))  # BITS / 8 bytes, whatever the input
+
+def star_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``a``, ``b`` whose exact similarity reaches ``SIMILARITY``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted_bits = sent.value
         for batch in batches:
-            h, ids, lines = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = set()
-                for line in compared(text):
-                    own = line_hash(line)
-                    p = _place(own, i % BITS)
-                    if wanted_bits[p >> 3] >> (p & 7) & 1 and own not in seen:
-                        seen.add(own)
-                        h.append(own)
-                        ids.append(i)
-                        lines.append(line)
-            for k in range(0, len(lines), MAPPED):
-                some = lines[k:k + MAPPED]
-                rows = maps(some)
-                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * (MAP // 64)), pa.array(rows.ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[k:k + MAPPED], pa.int64()), pa.array(ids[k:k + MAPPED], pa.int64()), pa.array(some, pa.string()),
-                     pa.array([len(shingles(x)) for x in some], pa.int64()), bits,
-                     pa.array(np.bitwise_count(rows.view(np.uint64)).sum(1).astype(np.int64))], names=["h", "doc_id", "line", "n", "bits", "set"])
-
-    given = _texts(docs).mapInArrow(run, "h long, doc_id long, line string, n long, bits array<bigint>, set long")
-    return materialise(given.join(wanted, ["h", "doc_id"], "left_semi").select(
-        "h", "line", F.struct("n", "bits", (F.col("n") - F.col("set")).alias("hidden")).alias("map")), "line-texts")
-
-
-def likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``a``, ``b`` whose bitmaps allow ``SIMILARITY``, found before any text is shuffled."""
-    left = texts.select(F.col("h").alias("a"), F.col("map").alias("xm"))
-    right = texts.select(F.col("h").alias("b"), F.col("map").alias("ym"))
-    return materialise(pairs.join(left, "a").join(right, "b").where(may_be_alike("xm", "ym")).select("a", "b"), "line-likely")
-
-
-def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``a``, ``b`` whose exact similarity reaches ``SIMILARITY``."""
+            a, b, x, y = (c.to_pylist() for c in batch.columns)
+            texts = dict(zip(a, x, strict=True)) | dict(zip(b, y, strict=True))
+            at = 0
+            while at < len(a):
+                some, size = {}, 0
+                end = at
+                while end < len(a) and size < SIGNED_CHARS:
+                    for h in (a[end], b[end]):
+                        if h not in some:
+                            some[h] = texts[h].decode()
+                            size += len(some[h])
+                    end += 1
+                sets = dict(zip(some, codes(list(some.values())), strict=True))
+                good = [k for k in range(at, end) if alike(sets[a[k]], sets[b[k]])]
+                yield _linked([a[k] for k in good], [b[k] for k in good])
+                at = end
+
     left = texts.select(F.col("h").alias("a"), F.col("line").alias("x"))
     right = texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
+def block_links(meeting: DataFrame) -> DataFrame:
+    """``a``, ``b``: links between lines ``h``, ``line`` of different ``root`` that meet, those of blocks ``x`` and ``y`` of a ``key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            kept, last, own = [], None, set()
-            for k, (i, x, y) in enumerate(zip(b, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if i != last:
-                    last, own = i, shingles(y)
-                other = shingles(x)
-                both = len(own & other)
-                if both >= SIMILARITY * (len(own) + len(other) - both):
-                    kept.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in kept], pa.int64()), pa.array([b[k] for k in kept], pa.int64())],
-                                             names=["a", "b"])
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def line_links(docs: DataFrame) -> DataFrame:
-    """``node``, ``root`` of distinct lines that are like others."""
-    shared = shared_bands(docs)
-    texts = texts_of(docs, shared.select("h", "doc_id").distinct())
-    stars = shared.where("h <> pivot").select(F.col("h").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = materialise(alike(likely(stars, texts), texts), "line-links")
-    roots = connected_components(first, "line-links")
-    marked = shared.join(roots, shared["h"] == roots["node"], "left").select("key", "h", F.coalesce("root", "h").alias("root"))
-    split = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    apart = materialise(marked.join(split, "key").join(texts.select("h", "map"), "h"), "line-apart")
-    x = apart.select("key", F.col("h").alias("a"), F.col("root").alias("ra"), F.col("map").alias("xm"))
-    y = apart.select("key", F.col("h").alias("b"), F.col("root").alias("rb"), F.col("map").alias("ym"))
-    # The pivots are compared with all of their band already.
-    compared = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb"))
-                   & may_be_alike("xm", "ym")).select("a", "b").distinct()
-    more = materialise(alike(pairs.join(compared, ["a", "b"], "left_anti"), texts), "line-links")
-    return connected_components(first.union(more), "line-links")
+        known = UnionFind()  # what this task has found need not be compared in its further groups
+        waiting: list[tuple[dict, bool]] = []
+        size = 0
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            nonlocal known
+            texts = {h: r[4].decode() for own, _ in waiting for h, r in own.items()}
+            sets = dict(zip(texts, codes(list(texts.values())), strict=True)) if texts else {}
+            a, b = [], []
+            for own, parted in waiting:
+                h = list(own)
+                root = [known.find(r[5]) for r in own.values()]
+                if len(set(root)) > 1:
+                    for i, j in compare([sets[x] for x in h], root, [r[6] for r in own.values()] if parted else None):
+                        a.append(h[i])
+                        b.append(h[j])
+                        known.union(root[i], root[j])
+            if len(known.parent) > KNOWN:
+                known = UnionFind()
+            yield _linked(a, b)
+
+        for group in _groups(batches, 3):
+            pivot = {r[3] for r in group if r[7]}  # compared with all others already
+            own = {r[3]: r for r in group if r[3] not in pivot}  # a line of several parts comes several times
+            if len(own) > 1 and len({r[5] for r in own.values()}) > 1:
+                waiting.append((own, group[0][1] != group[0][2]))
+                size += sum(len(r[4]) for r in own.values())
+                if size >= SIGNED_CHARS:
+                    yield from settled()
+                    waiting, size = [], 0
+        yield from settled()
+
+    keys = ["key", "x", "y"]
+    return meeting.select(*keys, "h", "line", "root", "block", "pivot").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary")
+
+
+def line_links(own: DataFrame, path: str) -> DataFrame:
+    """``node``, ``root`` of distinct lines that are like others, from the rows of all parts, of which all but the places are deleted."""
+    spark = own.sparkSession
+    shared_path, given_path, texts_path = (scratch_path(spark, f"line-{x}") for x in ("shared", "candidates", "texts"))
+    shared = materialise(own.where(F.col("kind") == KEYS).groupBy("bucket").applyInArrow(_shared, ROW), "line-shared", shared_path)
+    discard(spark, f"{path}/kind={KEYS}")
+    given = materialise(candidates(own.where(F.col("kind").isin(HOLDERS, LINES)).union(shared)), "line-candidates", given_path, by=("text",))
+    for gone in (f"{path}/kind={HOLDERS}", f"{path}/kind={LINES}", shared_path):
+        discard(spark, gone)
+    texts = materialise(given.where("text").select("h", "line").dropDuplicates(["h"]), "line-texts", texts_path)
+    discard(spark, f"{given_path}/text=true")
+
+    held = given.where("NOT text").select("key", "blocks", "pivot", "many", "h")
+    pivots = held.where("pivot").select("key", F.col("h").alias("p"))
+    stars = held.join(pivots, "key").where("h <> p").select(F.greatest("h", "p").alias("a"), F.least("h", "p").alias("b")).distinct()
+    roots = connected_components(star_links(stars, texts), "line-links")
+
+    # Keys of more than two lines that are not all connected.
+    marked = held.where("many").join(roots, held["h"] == roots["node"], "left").select("key", "blocks", "pivot", "h", F.coalesce("root", "h").alias("root"))
+    apart = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    block = F.pmod(F.xxhash64("h"), F.col("blocks"))
+    meeting = (marked.join(apart, "key").join(texts, "h").withColumn("block", block)
+               .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+               .withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}))
+    linked = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(block_links(meeting))
+    found = connected_components(linked, "line-links")
+    for gone in (given_path, texts_path):
+        discard(spark, gone)
+    return found
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``line_no``, ``kept_in``: every line that goes, and the document that keeps its like."""
-    roots = line_links(docs)
-    seen = materialise(occurrences(docs), "line-places")
-    distinct = seen.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    grouped = distinct.join(roots, distinct["h"] == roots["node"], "left").select("h", "first", "n", F.coalesce("root", "h").alias("g"))
-    several = grouped.groupBy("g").agg(F.min("first").alias("kept_in"), F.sum("n").alias("total")).where("total > 1").select("g", "kept_in")
-    of = materialise(grouped.join(several, "g").select("h", "g", "kept_in"), "line-groups")
-    members = seen.join(of, "h").select("doc_id", "line_no", "g", "kept_in")
-    kept = members.where("doc_id = kept_in").groupBy("g").agg(F.min("line_no").alias("kept_line"))
-    return (members.join(kept, "g").where("doc_id <> kept_in OR line_no <> kept_line")
-            .select("doc_id", "line_no", "kept_in"))
+    spark = docs.sparkSession
+    box = Isolated(docs)
+    texts = box.df.select(box["doc_id"].cast("long").alias("doc_id"), box["text"].alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    breaks = texts.agg(F.count("*"), F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))))).first()
+    keys = BANDS * (breaks[0] + (breaks[1] or 0))
+    bits = min(30, max(1, (keys // BUCKET_KEYS).bit_length()))
+    path = scratch_path(spark, "line-parts")
+    own = materialise(parts(texts, bits), "line-parts", path, by=("kind",))
+    roots = line_links(own, path)
+
+    seen = own.where(F.col("kind") == PLACES).select("h", "doc_id", "line_no")
+    place = F.struct("doc_id", "line_no")
+    lines = materialise(seen.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")), "line-distinct")
+    nodes = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    linked = lines.join(nodes, lines["h"] == nodes["node"]).select("h", "first", "root")
+    kept = linked.groupBy("root").agg(F.min("first").alias("kept"))
+    of = linked.join(kept, "root").select("h", "kept")
+    alone = lines.where("n > 1").join(nodes, lines["h"] == nodes["node"], "left_anti").select("h", F.col("first").alias("kept"))
+    return (seen.join(of.union(alone), "h").where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("line_no") != F.col("kept.line_no")))
+            .select("doc_id", "line_no", F.col("kept.doc_id").alias("kept_in")))
 
 
 def _by_document(docs: DataFrame) -> DataFrame:

@@ -4,16 +4,22 @@ The tokenizer is byte-level BPE whose pre-tokens never hold white space after
 another character. A place with a single space between two characters that are
 no white space is therefore a **stable boundary**: a pre-token ends before the
 space, whatever stands further left, and what follows depends only on the text
-from the space on; look-ahead past white space stays within its own side.
-Added tokens contain no space and so cannot straddle such a place either.
-
-* A text of up to ``HUGE`` characters is cut at its stable boundaries; the units
-  are encoded by the tokenizers library and remembered (``units.Memo``).
+from the space on; look-ahead past white space stays within its own side. So is
+the place between a line feed and a letter or digit, to which only a space could
+be joined, and that between a letter or digit and a symbol, since runs of either
+hold nothing else (an apostrophe before letters begins a pre-token of its own).
+No added token spans such a place: those that hold a space or a line feed are
+refused, and a symbol that an added token holds makes no boundary.
+
+* A text of up to ``HUGE`` characters is cut at its single spaces; the units
+  are encoded by the tokenizers library and remembered (``units.Memo``). Chunks
+  and splices are for huge documents, where they bound memory.
 * A longer text is encoded in chunks of ``CHUNK`` characters that overlap by
   ``OVERLAP``, with offsets. In each overlap a stable boundary at which both
   encodings have a token boundary is sought; tokens before it are taken from the
   left chunk, those from it on from the right one. Where there is none, the
-  overlap doubles, in the end to one chunk that holds both.
+  overlap doubles, in the end to one chunk that holds both; a chunk without any such
+  place grows fourfold at a time, so that a text without any boundary costs a few times its encoding as a whole.
 
 Memory is bounded by a chunk's encoding, unless a text offers no stable boundary.
 
@@ -43,6 +49,7 @@ LIMIT_TOKENS = 512
 
 _DOUBLE = re.compile(r"\s\s")
 _STABLE = re.compile(r"(?<=\S) (?=\S)")
+_PLACES = re.compile(r"(?<=\S)(?= \S)|(?<=\n)(?=[^\W_])|(?<=[^\W_])(?=[^\w\s])")
 
 
 class Counter:
@@ -52,6 +59,10 @@ class Counter:
         self.first = Memo(lambda parts: map(len, tokenizer.encode_batch(parts, add_special_tokens=False)))
         self.after_space = Memo(self.counted)
         self.widened = 0
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        if any(c.isspace() for t in added for c in t):
+            raise ValueError("an added token holds white space")
+        self.within = {c for t in added for c in t}
 
     def counted(self, parts: list[str]) -> list[int]:
         """Tokens of each part after a space. Parts without outer white space have stable boundaries between them."""
@@ -78,28 +89,41 @@ class Counter:
         total, begun, at, end = 0, 0, 0, min(len(text), self.chunk)
         left = self.starts(text, at, end)  # of the chunk from ``at``; tokens before ``begun`` are counted
         while end < len(text):
+            places = self.places(text, max(at, begun), end)
             overlap = self.overlap
             while True:
                 right_at = max(at, end - overlap)
-                right_end = min(len(text), end + self.chunk)
-                right = self.starts(text, right_at, right_end)
-                cut = self.common(text, left, right, max(right_at, begun), end)
-                if cut is not None:
-                    total += sum(begun <= x < cut for x in left)
-                    begun, left, at, end = cut, right, right_at, right_end
-                    break
-                self.widened += 1
-                if right_at == at:  # the overlap reaches back to the chunk's start: it becomes one larger chunk
-                    left, end = right, right_end
+                if right_at == at and not places:  # no overlap can serve: the chunk grows
+                    self.widened += 1
+                    end = min(len(text), end + max(self.chunk, 3 * (end - at)))
+                    left = self.starts(text, at, end)
                     break
+                if places and places[-1] > right_at:
+                    right_end = min(len(text), end + max(self.chunk, end - at))
+                    right = self.starts(text, right_at, right_end)
+                    cut = self.common(places, left, right, max(right_at, begun))
+                    if cut is not None:
+                        total += sum(begun <= x < cut for x in left)
+                        begun, left, at, end = cut, right, right_at, right_end
+                        break
+                    self.widened += 1
+                    if right_at == at:  # the overlap reaches back to the chunk's start: it becomes one larger chunk
+                        left, end = right, right_end
+                        break
+                elif right_at == at:
+                    places = []
+                    continue
                 overlap *= 2
         return total + sum(x >= begun for x in left)
 
-    def common(self, text: str, left: list[int], right: list[int], low: int, high: int) -> int | None:
-        """A stable boundary between ``low`` and ``high`` where tokens start in both encodings; of several, the middle one."""
-        places = set(left).intersection(right)
-        # The characters on both sides must lie in both chunks.
-        found = [m.start() for m in _STABLE.finditer(text, low + 1, high - 1) if m.start() in places and m.start() - 1 >= low]
+    def places(self, text: str, low: int, high: int) -> list[int]:
+        """The stable boundaries of which the characters on both sides lie between ``low`` and ``high``."""
+        return [p for m in _PLACES.finditer(text, low + 1, high - 1) if text[p := m.start()] not in self.within]
+
+    def common(self, places: list[int], left: list[int], right: list[int], low: int) -> int | None:
+        """A place beyond ``low`` where tokens start in both encodings; of several, the middle one."""
+        both = set(left).intersection(right)
+        found = [p for p in places if p > low and p in both]
         return found[len(found) // 2] if found else None
 
 

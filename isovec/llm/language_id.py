@@ -3,20 +3,25 @@
 Labelled text of each language is turned into a suffix automaton. A text is
 parsed greedily into the longest phrases that occur in a language's text; with
 ``p`` phrases over ``n`` characters and ``m`` characters of language text, the
-cross-parsing entropy is ``p * log2(m) / n``. The language of the least entropy
-wins; equal ones go to the alphabetically first.
+cross-parsing entropy is ``p * log2(m) / n``. A letter that the language's text
+does not have counts as two phrases, one to say so and the letter itself. The
+language of the least entropy wins; equal ones go to the alphabetically first.
 
 Texts are parsed whole, in blocks of ``BLOCK`` characters of which each starts a
 new phrase, so that one long text is as quick as many short ones: the blocks of
-a batch advance together, one character a step, through dense transition tables.
+a batch advance together, one character a step. The transitions of all automata
+stand in one hash table of two places a key, whose size follows the number of
+transitions and not that of letters: every letter of the fitted texts takes part.
 
-The automata are fitted on a bounded sample: for each language the
-``FIT_ROWS`` labelled rows first in hash order, ``FIT_ROW_CHARS`` characters of
-each, ``FIT_CHARS`` in all. Everything else covers all rows.
+The automata are fitted on a bounded sample: for each language the whole texts of
+``FIT_ROWS`` labelled rows, those first in the order of a hash of their id.
+Everything else covers all rows.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; rows
 of null language teach nothing; no labelled row at all makes every text ``und``;
-repeated rows get equal predictions; an empty table gives an empty result;
+repeated rows get equal predictions, and labelled ones
+may stand several times among the fitted rows; languages of equal entropy go to the
+alphabetically first; texts of any length are parsed whole; an empty table gives an empty result;
 further columns of the input, also of clashing names, are ignored by
 ``identify`` and kept by ``filter_documents``.
 """
@@ -34,10 +39,7 @@ from pyspark.sql import types as T
 
 from .common import Isolated, fold
 
-FIT_ROWS = 64
-FIT_ROW_CHARS = 1024
-FIT_CHARS = 16384
-MAX_LETTERS = 254
+FIT_ROWS = 16
 BLOCK = 1024
 BATCH_CHARS = 4_000_000
 FOLDS, HELD_OUT = 4, 2
@@ -47,24 +49,23 @@ UNKNOWN = "und"
 def sample(docs: DataFrame, doc_id: Column, text: Column, lang: Column) -> dict[str, str]:
     """The bounded fitting text by language.
 
-    Only ids and languages are ranked; the texts of the chosen rows, at most
-    ``FIT_ROWS`` a language, are then read and cut.
+    Only ids, digests and languages are ranked; the texts of the chosen rows, at
+    most ``FIT_ROWS`` a language, are then read.
     """
-    labelled = docs.select(doc_id.alias("id"), text.alias("text"), lang.alias("lang")).where(
+    labelled = docs.select(doc_id.alias("id"), text.alias("text"), lang.alias("lang"), F.xxhash64(text).alias("mark")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & (fold(F.col("id"), FOLDS) != HELD_OUT))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = labelled.select("id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= FIT_ROWS).collect()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "mark")
+    chosen = labelled.select("id", "mark", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= FIT_ROWS).collect()
     if not chosen:
         return {}
-    ids = [r["id"] for r in chosen]
-    rows = (labelled.where(F.col("id").isin(ids)).select("id", "lang", F.substring("text", 1, FIT_ROW_CHARS).alias("text"))
-            .distinct().collect())
-    rank = {(r["lang"], r["id"]): r["r"] for r in chosen}
+    rank = {(r["lang"], r["id"], r["mark"]): r["r"] for r in chosen}
+    rows = (labelled.where(F.col("id").isin([r["id"] for r in chosen]) & F.col("mark").isin([r["mark"] for r in chosen]))
+            .dropDuplicates(["id", "lang", "mark"]).collect())
     texts: dict[str, list] = {}
     for r in rows:
-        if (r["lang"], r["id"]) in rank:
-            texts.setdefault(r["lang"], []).append((rank[r["lang"], r["id"]], r["text"]))
-    return {k: " ".join(t for _, t in sorted(v))[:FIT_CHARS] for k, v in sorted(texts.items())}
+        if (key := (r["lang"], r["id"], r["mark"])) in rank:
+            texts.setdefault(r["lang"], []).append((rank[key], r["text"]))
+    return {k: " ".join(t for _, t in sorted(v)) for k, v in sorted(texts.items())}
 
 
 @lru_cache(maxsize=1)
@@ -120,33 +121,67 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return step
 
 
+class Sparse:
+    """A fixed map of numbers, looked up many at a time. A key stands in one of two places, to which cuckoo hashing moves it."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - max(4, (2 * len(keys)).bit_length()))
+        for attempt in range(1000):
+            rng = np.random.default_rng(attempt)
+            self.odd = (rng.integers(1, 1 << 62, 2).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+            held = np.full((2, 1 << int(64 - self.shift)), -1, np.int64)  # which key stands where
+            waiting, side = np.arange(len(keys)), 0
+            for _ in range(200):
+                if not len(waiting):
+                    break
+                at = self._place(keys[waiting], side)
+                out = held[side, at]
+                held[side, at] = waiting  # of several, the last stays
+                lost = waiting[held[side, at] != waiting]
+                waiting, side = np.unique(np.concatenate([out[out >= 0], lost])), 1 - side
+            else:
+                continue
+            break
+        self.keys = np.where(held >= 0, keys[held] if len(keys) else -1, -1)
+        self.values = np.where(held >= 0, values[held] if len(keys) else -1, -1).astype(np.int32)
+
+    def _place(self, keys: np.ndarray, side: int) -> np.ndarray:
+        return ((keys.view(np.uint64) * self.odd[side]) >> self.shift).view(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 for keys that are not there."""
+        a, b = self._place(keys, 0), self._place(keys, 1)
+        return np.where(self.keys[0][a] == keys, self.values[0][a], np.where(self.keys[1][b] == keys, self.values[1][b], -1))
+
+
 class Parser:
-    """Dense automata of all languages, and the parse of many blocks at a time."""
+    """The automata of all languages, and the parse of many blocks at a time."""
 
     def __init__(self, texts: tuple[tuple[str, str], ...]):
         self.langs = [k for k, _ in texts]
         refs = [letters(t) for _, t in texts]
         self.bits = np.array([np.log2(max(2, len(r))) for r in refs])
-        seen, counts = np.unique(np.concatenate([*refs, np.array([32])]), return_counts=True)
-        kept = np.sort(seen[np.argsort(-counts, kind="stable")[:MAX_LETTERS]])
-        self.known = kept[kept != 32]
+        seen = np.unique(np.concatenate([*refs, np.array([32])]))
+        self.known = seen[seen != 32]
         self.size = len(self.known) + 2  # 0: a letter of no language's text, 1: space
-        automata = [suffix_automaton(self.classes(r).tolist()) for r in refs]
-        self.roots = np.cumsum([0, *(len(a) for a in automata)])[:-1].astype(np.int32)
-        table = np.full((sum(map(len, automata)), self.size), -1, np.int32)
-        for root, automaton in zip(self.roots.tolist(), automata, strict=True):
-            for state, row in enumerate(automaton, root):
-                for c, to in row.items():
-                    if c:
-                        table[state, c] = to + root
-        first = table[self.roots]
+        self.class_of = np.zeros(0x110000, np.int32)
+        self.class_of[self.known] = np.arange(2, self.size)
+        self.class_of[32] = 1
+        roots, keys, values, total = [], [], [], 0
+        for r in refs:  # one automaton at a time: as dictionaries they are large
+            roots.append(total)
+            automaton = suffix_automaton(self.classes(r).tolist())
+            keys.append(np.array([(state + total) * self.size + c for state, row in enumerate(automaton) for c in row], np.int64))
+            values.append(np.array([to + total for row in automaton for to in row.values()], np.int64))
+            total += len(automaton)
+        self.roots = np.array(roots, np.int64)
+        none = [np.empty(0, np.int64)]
+        self.step = Sparse(np.concatenate(keys or none), np.concatenate(values or none))
+        first = self.step.of(self.roots[:, None] * self.size + np.arange(self.size))
         self.first = np.where(first < 0, self.roots[:, None], first)
-        self.table = table.ravel()
 
     def classes(self, symbols: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, symbols), max(0, len(self.known) - 1))
-        hit = self.known[at] == symbols if len(self.known) else np.zeros(len(symbols), bool)
-        return np.where(symbols == 32, 1, np.where(hit, at + 2, 0)).astype(np.uint8)
+        return self.class_of[symbols]
 
     def phrases(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases by language and block, for blocks given by start and length."""
@@ -159,12 +194,12 @@ class Parser:
         for j, n in enumerate(live.tolist()):
             c = symbols[starts[:n] + j]
             at = state[:, :n]
-            to = self.table[at * self.size + c]
+            to = self.step.of(at * self.size + c)
             ends = to < 0
             now = np.where(ends, self.first[:, c], to)
-            # A phrase ends, and a letter that the language never has is a phrase of its own.
+            # A phrase ends; a letter that the language never has costs two, one to say so and the letter.
             count[:, :n] += ends & (at != root)
-            count[:, :n] += now == root
+            count[:, :n] += 2 * (now == root)
             state[:, :n] = now
         count += state != root
         out = np.empty_like(count)

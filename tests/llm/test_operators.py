@@ -86,6 +86,23 @@ def test_language_id(docs, rows):
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
+def test_language_id_letters():
+    """Every letter of the fitted texts takes part, however many there are; equal languages go to the first by name."""
+    rng = random.Random(3)
+
+    def text_of(k, n):
+        return "".join(chr(0x4E00 + 1500 * k + rng.randrange(1500)) for _ in range(n))
+
+    p = language_id.Parser(tuple((f"l{k}", " ".join(text_of(k, 400) for _ in range(16))) for k in range(3)))
+    texts = [(f"l{k}", text_of(k, 60)) for k in range(3) for _ in range(50)]
+    assert p.predict([t for _, t in texts])[0] == [k for k, _ in texts]
+    same = language_id.Parser((("a", "river stone"), ("b", "river stone")))
+    assert same.predict(["stone", "###", None, "river" * 1000]) == (["a", "und", "und", "a"], [0.5, 0.0, 0.0, 0.5])
+    keys = np.array(rng.sample(range(1 << 40), 5000), np.int64)
+    table = language_id.Sparse(keys, np.arange(5000))
+    assert (table.of(keys) == np.arange(5000)).all() and (table.of(keys + (1 << 41)) == -1).all()
+
+
 def test_automaton():
     ref, t = "abracadabra", "cadabrazabrac"
     p = language_id.Parser((("x", ref),))
@@ -93,8 +110,8 @@ def test_automaton():
     got = p.phrases(p.classes(s), np.array([0]), np.array([len(s)]))[0, 0]
     n, k = 0, 0
     while k < len(t):
-        m = max([j for j in range(1, len(t) - k + 1) if t[k:k + j] in ref], default=1)
-        k, n = k + m, n + 1
+        m = max([j for j in range(1, len(t) - k + 1) if t[k:k + j] in ref], default=0)
+        k, n = k + max(1, m), n + (1 if m else 2)
     assert got == n
 
 
@@ -123,11 +140,71 @@ def test_token_counts(docs, rows):
             assert found[i]["n_tokens"] == n and found[i]["n_bytes"] == len((t or "").encode())
             if len(t or "") < 5000:
                 assert small.count(t) == n
+    assert token_counts.count_tokens(docs.limit(0), path).count() == 0
     for t in ("  a  b \n\n c\t d ", "a <|endoftext|> b", "é" * 300 + " b " * 90, "\n \n" * 90, "x" * 400):
         assert small.count(t) == len(whole.encode(t, add_special_tokens=False).ids)
     assert small.widened
 
 
+def test_token_counts_without_spaces():
+    """Boundaries other than single spaces, and none at all; the work grows with the text and not with its square."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    rng = random.Random(6)
+    atoms = ["漢字", "😀", "'s", "'", "don't", "foo", " ", "  ", "\n", "\n\n", "é", "<|endoftext|>", "\t", "1", "½", "Ⅷ", ".", "!", "_", "|", "<", ">"]
+    counters = [token_counts.Counter(whole, huge=1, chunk=c, overlap=o) for c, o in ((8, 2), (20, 4), (33, 16))]
+    for _ in range(600):
+        t = "".join(rng.choices(atoms, k=rng.randint(5, 60)))
+        assert {c.count(t) for c in counters} == {len(whole.encode(t, add_special_tokens=False).ids)}
+    counter, encoded = token_counts.Counter(whole), []
+    plain = counter.starts
+    counter.starts = lambda text, at, end: encoded.append(end - at) or plain(text, at, end)
+    t = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(160_000))
+    right = counter.count(t) == len(whole.encode(t, add_special_tokens=False).ids)
+    assert right and sum(encoded) < (1 + 4 / 3) * len(t)  # chunks that grow fourfold up to the text
+
+
+def test_sentencepiece_strings():
+    """Against the library: outer and double spaces, rare letters, markers and names of pieces, in random order and with what is remembered."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    rng = random.Random(1)
+    atoms = ["漢字", "😀", "١", "foo", " ", "  ", "\n", "▁", "▁▁", " a", "é", "<s>", "<unk>", "<0x0A>", "\t", "x y", "the", "</s>", "\u3000", "\xa0", "###"]
+    texts = ["漢字 ", "😀 ", "١ ", "漢字", " ", "  ", "▁", "a▁", "▁a", "a  ▁b", *("".join(rng.choices(atoms, k=rng.randint(1, 9))) for _ in range(2000))]
+    rng.shuffle(texts)
+    codec, lib = sentencepiece_codec.Codec(path), sentencepiece_codec.library(path)
+    for k in range(0, len(texts), 37):
+        some = texts[k:k + 37]
+        own = codec.encode(some)
+        assert own == [np.array(x, "<u4").tobytes() for x in lib.encode(some)]
+        assert [codec.decode(x).decode() for x in own] == [codec.tokenizer.decode(np.frombuffer(x, "<u4").tolist(), skip_special_tokens=False) for x in own]
+
+
+def test_sentencepiece_unigram():
+    """A unigram model with byte fallback, white space that is stripped, and pieces that no text gives, written here as a protobuf."""
+    import struct
+
+    import sentencepiece
+
+    def field(number, kind, data):
+        return bytes([*varint(number << 3 | kind), *(varint(len(data)) if kind == 2 else b""), *data])
+
+    def varint(n):
+        return bytes([n & 127 | 128, *varint(n >> 7)]) if n > 127 else bytes([n])
+
+    pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *((f"<0x{b:02X}>", 0, 6) for b in range(256)), ("▁", -3, 1), ("▁the", -2, 1), ("the", -4, 1),
+              *((c, -5 - k / 8, 1) for k, c in enumerate("abcdehnrstu<>k")), ("an", -4.5, 1), ("▁an", -4.2, 1), ("th", -4.9, 1)]
+    data = b"".join(field(1, 2, field(1, 2, p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, varint(t))) for p, s, t in pieces)
+    data += field(2, 2, field(3, 0, varint(1)) + field(35, 0, varint(1)) + field(40, 0, varint(0)))
+    data += field(3, 2, field(3, 0, varint(1)) + field(4, 0, varint(1)) + field(5, 0, varint(1)))
+    lib = sentencepiece.SentencePieceProcessor(model_proto=data)
+    tokenizer = sentencepiece_codec.build(sentencepiece_codec.parse(data))
+    rng = random.Random(4)
+    for _ in range(500):
+        t = "".join(rng.choices(["the", "an", " ", "  ", "<unk>", "<s>", "é", "b", "sun", "漢"], k=rng.randint(1, 8)))
+        assert tokenizer.encode(t, add_special_tokens=False).ids == lib.encode(t), t
+
+
 def test_sentencepiece(docs):
     path = tokenizer_path("piece_bpe_32k.model")
     found = sentencepiece_codec.verify(docs, path).collect()
@@ -135,11 +212,13 @@ def test_sentencepiece(docs):
     ids = sentencepiece_codec.encode(docs.where("doc_id < 5"), path)
     back = known(sentencepiece_codec.decode(ids, path))
     assert {i: r["text"] for i, r in back.items()} == {r["doc_id"]: r["text"] for r in docs.where("doc_id < 5").collect()}
+    assert sentencepiece_codec.decode(ids.selectExpr("doc_id", "CAST(NULL AS array<int>) AS ids"), path).where("text IS NOT NULL").count() == 0
+    assert sentencepiece_codec.verify(docs.limit(0), path).count() == 0
 
 
 def test_weighted_minhash(docs, rows):
     found = known(weighted_minhash.fingerprint(docs))
-    order = sorted({i: t or "" for i, t, _ in reversed(rows) if i is not None}.items(), reverse=True)
+    order = sorted({i: t or "" for i, t, _ in rows if i is not None}.items(), reverse=True)
     off = []
     for k, (i, t) in enumerate(order):
         follow = order[(k + 1) % len(order)][1]
@@ -222,12 +301,57 @@ def test_line_dedup(docs, rows):
             if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    gone = Counter(held[a][0] for a in range(len(held)) if find(a) != a)
-    assert {i: len(r["removed_lines"]) for i, r in found.items()} == {i: gone.get(i, 0) for i in found}
+    assert {(i, k): d for i, r in found.items() for k, d in zip(r["removed_lines"], r["kept_in"], strict=True)} == {
+        held[a][:2]: held[find(a)][0] for a in range(len(held)) if find(a) != a}
+    assert line_dedup.removed_lines(docs.limit(0)).count() == 0
     kept = line_dedup.filter_documents(docs)
     assert kept.columns == docs.columns and 100 not in known(kept) and 5 in known(kept)
 
 
+def test_line_compare():
+    """Blocks by bitmaps and small groups give the components of all pairs; lines of other alphabets too."""
+    rng = random.Random(12)
+    base = ["".join(rng.choices("abcdefgh ", k=80)) for _ in range(4)] + ["".join(chr(0x4E00 + rng.randrange(9000)) for _ in range(60)) for _ in range(150)]
+    lines = list(dict.fromkeys(x[:k] + "#" * rng.randrange(3) + x[k + 2:] for x in base for k in (3, 20, 41, 50)))
+    sets = line_dedup.codes(lines)
+    assert [len(x) for x in sets] == [len(line_dedup.shingles(x)) for x in lines]
+
+    def roots(links, n):
+        u = line_dedup.UnionFind()
+        for a, b in links:
+            u.union(a, b)
+        return [u.find(k) for k in range(n)]
+
+    def true(some):
+        own = [line_dedup.shingles(lines[k]) for k in some]
+        return [(a, b) for a in range(len(own)) for b in range(a) if len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])]
+
+    for some in (range(40), range(0, 5), range(100, 300)):
+        assert roots(line_dedup.compare([sets[k] for k in some], list(some)), len(some)) == roots(true(some), len(some))
+    block = [k % 2 for k in range(40)]
+    assert roots(line_dedup.compare(sets[:40], list(range(40)), block), 40) == roots([(a, b) for a, b in true(range(40)) if (a + b) % 2], 40)
+
+
+def test_line_dedup_blocks(spark, monkeypatch):
+    """Many lines of one key in small blocks: all that are alike by chains are found, across blocks too."""
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", 3)
+    monkeypatch.setattr(line_dedup, "PART_CHARS", 400)
+    rng = random.Random(2)
+    line = " ".join(rng.choice(EN) for _ in range(14))
+    lines = [line]
+    while len(lines) < 30:
+        k = rng.randrange(len(line) - 3)
+        line = line[:k] + rng.choice("xyz") + line[k + 1:]
+        lines.append(line)
+    sets = [line_dedup.shingles(x) for x in lines]
+    root = list(range(30))
+    for _ in range(30):
+        for a in range(30):
+            root[a] = min(root[b] for b in range(30) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    found = known(line_dedup.removed_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)))
+    assert {i: r["kept_in"] for i, r in found.items()} == {i: [root[i]] if root[i] != i else [] for i in range(30)}
+
+
 def test_line_dedup_short_edits(spark):
     """One letter or word edited in lines of 40 to 100 characters, against the similarity of their 5-character shingles."""
     rng = random.Random(8)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .exact import NO_MAGNITUDE, SAME_LENGTH, _dot, bind, doubles, fail, has_null, paired, plain_cosine
+from .exact import INFINITY, NO_MAGNITUDE, SAME_LENGTH, _dot, bind, doubles, fail, has_null, paired
 
 NOT_BINARY = "The value is not a binary vector"
 
@@ -84,8 +84,16 @@ def int8_dot_product(x: Column, y: Column, bounds: Column) -> Column:
 
 
 def int8_cosine_similarity(x: Column, y: Column, bounds: Column) -> Column:
-    return _on_codes(x, y, bounds, plain_cosine(dequantize_int8(x, bounds), dequantize_int8(y, bounds),
-                                                lambda: fail(NO_MAGNITUDE).cast("double")))
+    """An error where a vector decodes to zeros; what bounds of extreme scale give is passed on."""
+
+    def of(s: Column) -> Column:
+        product = s["x"] * s["y"]
+        lost = F.when(s["d"] == 0, float("nan")).otherwise(F.signum(s["d"]) * INFINITY)  # each magnitude counts, their product is too small
+        return (F.when((s["x"] == 0) | (s["y"] == 0), fail(NO_MAGNITUDE).cast("double")).when(product == 0, lost)
+                .otherwise(s["d"] / F.sqrt(product)))
+
+    u, v = dequantize_int8(x, bounds), dequantize_int8(y, bounds)
+    return _on_codes(x, y, bounds, bind(F.struct(_dot(u, v).alias("d"), _dot(u, u).alias("x"), _dot(v, v).alias("y")), of))
 
 
 def int8_cosine_distance(x: Column, y: Column, bounds: Column) -> Column:

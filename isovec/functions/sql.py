@@ -41,10 +41,14 @@ def _vectors(column: pa.Array) -> list[np.ndarray | None]:
 def _cosine(x: np.ndarray, y: np.ndarray, rescue: bool) -> float:
     with np.errstate(all="ignore"):
         d, product = x @ y, (x @ x) * (y @ y)
+        if not rescue:
+            if x @ x == 0 or y @ y == 0:
+                raise ValueError(NO_MAGNITUDE)
+            return float(d / np.sqrt(product))
         if np.isfinite(product) and product != 0 and np.isfinite(d):
             return float(d / np.sqrt(product))
         m, n = np.abs(x).max(initial=0), np.abs(y).max(initial=0)
-        if m == 0 or n == 0 or not rescue:
+        if m == 0 or n == 0:
             raise ValueError(NO_MAGNITUDE)
         if not (np.isfinite(m) and np.isfinite(n)):
             return float("nan")

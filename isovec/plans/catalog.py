@@ -7,11 +7,12 @@ different orders; adding 0.0 makes a rounded negative zero a plain one.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codes, embed, exact, metric
+from ..functions import codes, embed, exact, metric, sql
 from ..operators import search
 from ..sources.tables import read_table
 
@@ -147,16 +148,43 @@ def knn_agg_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unrolled(search.knn_agg(rows, "o_orderkey", "v", "q", 10, "euclidean", ("o_orderstatus",)), "o_orderstatus")
 
 
+BLOCK = 512
+
+
 @query(f"""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS d
-      FROM embeddings e, embeddings q WHERE q.vec_id < 8)
+      FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)
     SELECT query_id, rank, key, round(d, {DIGITS}) + 0.0 AS distance FROM (SELECT query_id, vec_id AS key, d,
       CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INTEGER) AS rank FROM p) WHERE rank <= 5""")
 def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated set of eight queries against all rows, as groups of one search."""
+    """The stated query set, every id divisible by 50, against all rows, in blocks of about ``BLOCK`` queries, as groups of one search."""
     rows = vectors(spark, sf_dir)
-    asked = rows.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).limit(8)
-    found = search.nearest(rows.crossJoin(F.broadcast(asked)), "vec_id", "v", "q", 5, "euclidean", ("query_id",))
-    return found.withColumn("distance", rounded("distance"))
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    blocks = max(1, -(-asked.count() // BLOCK))
+    found = [search.nearest(rows.crossJoin(F.broadcast(asked.where(F.expr(f"pmod(query_id div 50, {blocks}) = {b}")))), "vec_id", "v", "q", 5, "euclidean",
+                            ("query_id",)) for b in range(blocks)]
+    return reduce(DataFrame.union, found).withColumn("distance", rounded("distance"))
+
+
+@query(f"SELECT vec_id, round({ON_PAIRS['euclidean']}, {DIGITS}) + 0.0 AS value FROM ({PAIRS})")
+def scalar_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL text, the query vector a scalar subquery."""
+    sql.register(spark)
+    vectors(spark, sf_dir).createOrReplaceTempView("isovec_vectors")
+    found = spark.sql("SELECT vec_id, euclidean_distance(v, (SELECT v FROM isovec_vectors WHERE vec_id = 0)) AS value FROM isovec_vectors")
+    return found.select("vec_id", rounded("value").alias("value"))
+
+
+def _stretched(rows: DataFrame, kind: str) -> DataFrame:
+    """Vectors of different lengths, whose cosine is not their dot product; powers of two change no other digit."""
+    return rows.select("vec_id", F.transform("v", lambda e: e * F.pow(F.lit(2.0), F.col("vec_id") % 5)).cast(kind).alias("v"), F.transform("q", lambda e: e * 4).cast(kind).alias("q"))
+
+
+for _name in ("cosine_similarity", "cosine_distance"):
+    for _width, _suffix in (("float", ""), ("double", "_double")):
+        query(f"""SELECT vec_id, round({ON_PAIRS[_name]}, {DIGITS}) + 0.0 AS value FROM (SELECT vec_id, list_transform(x, lambda e: e * pow(2, vec_id % 5)) AS x,
+            list_transform(y, lambda e: e * 4) AS y FROM ({PAIRS}))""", f"{_name}_stretched{_suffix}")(
+            lambda spark, sf_dir, f=EXACT[_name], w=_width: _stretched(with_query(vectors(spark, sf_dir, w)), f"array<{w}>").select(
+                "vec_id", rounded(f(F.col("v"), F.col("q"))).alias("value")))
 
 
 @query(f"""WITH p AS ({PAIRS}), g AS (SELECT CAST(label AS VARCHAR) AS label, vec_id, {ON_PAIRS['euclidean']} AS d FROM p UNION ALL SELECT 'all', vec_id, {ON_PAIRS['euclidean']} FROM p)
@@ -189,9 +217,9 @@ def bounds_agg_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
         "label", F.col("i").cast("bigint").alias("i"), rounded("off").alias("off"), "scale")
 
 
-def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encoded(spark: SparkSession, sf_dir: str, width: str = "float") -> DataFrame:
     """The vectors with their bounds, one row beside each, and both codes."""
-    rows = vectors(spark, sf_dir)
+    rows = vectors(spark, sf_dir, width)
     beside = rows.crossJoin(F.broadcast(search.vector_bounds_agg(rows, "v")))
     return beside.withColumn("c", codes.quantize_int8(F.col("v"), F.col("bounds"))).withColumn("h", codes.quantize_int1(F.col("v"), F.col("bounds")))
 
@@ -222,15 +250,19 @@ INT8 = {n: getattr(codes, f"int8_{EXACT[n].__name__}") for n in EXACT}
 INT1 = {n: getattr(codes, f"int1_{EXACT[n].__name__}") for n in EXACT}
 
 
-@query(f"WITH {CODES_SQL} SELECT vec_id, array_to_string(code, ',') AS codes FROM c")
-def quantize_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded(spark, sf_dir).select("vec_id", F.array_join(F.col("c").cast("array<string>"), ",").alias("codes"))
+INT8_CODES = f"WITH {CODES_SQL} SELECT vec_id, array_to_string(code, ',') AS codes FROM c"
+INT1_CODES = f"""WITH {CODES_SQL} SELECT vec_id, printf('%08X', len(bit)) || array_to_string(list_transform(range(0, len(bit) // 8),
+    lambda j: printf('%02X', CAST(list_sum(list_transform(range(0, 8), lambda i: bit[j * 8 + i + 1] * (1 << i))) AS BIGINT))), '') AS codes FROM c"""
+for _width, _suffix in (("float", ""), ("double", "_double")):
+    query(INT8_CODES, "quantize_int8" + _suffix)(lambda spark, sf_dir, w=_width: encoded(spark, sf_dir, w).select(
+        "vec_id", F.array_join(F.col("c").cast("array<string>"), ",").alias("codes")))
+    query(INT1_CODES, "quantize_int1_hex" + _suffix)(lambda spark, sf_dir, w=_width: encoded(spark, sf_dir, w).select("vec_id", F.hex("h").alias("codes")))
 
 
-@query(f"""WITH {CODES_SQL} SELECT vec_id, printf('%08X', len(bit)) || array_to_string(list_transform(range(0, len(bit) // 8),
-    lambda j: printf('%02X', CAST(list_sum(list_transform(range(0, 8), lambda i: bit[j * 8 + i + 1] * (1 << i))) AS BIGINT))), '') AS codes FROM c""")
-def quantize_int1_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded(spark, sf_dir).select("vec_id", F.hex("h").alias("codes"))
+@query(f"WITH {CODES_SQL}, p AS ({CODE_PAIRS}) SELECT vec_id, round({_SQ}, {DIGITS}) + 0.0 AS value FROM p")
+def tinyint_euclidean_squared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two-argument call on one-byte codes, which takes them as plain numbers."""
+    return coded(spark, sf_dir).select("vec_id", rounded(exact.euclidean_squared_distance(F.col("c"), F.col("qc"))).alias("value"))
 
 
 @query(f"WITH {CODES_SQL}, p AS ({CODE_PAIRS}) SELECT vec_id, ham AS value FROM p")
@@ -259,14 +291,15 @@ for _name in EXACT:
           f"int1_{_name}")(_int1(INT1[_name]))
 
 
-@query(f"WITH {CODES_SQL}, p AS ({CODE_PAIRS}) " + _grouped_sql(INT8_SQL["euclidean"], "SELECT * FROM p", "euclidean"))
-def knn_agg_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unrolled(search.knn_agg(coded(spark, sf_dir), "vec_id", "c", "qc", 5, "euclidean", ("label",), "bounds"), "label")
+def _grouped_codes(name: str, code: str, asked: str, bounds: str | None):
+    return lambda spark, sf_dir: _unrolled(search.knn_agg(coded(spark, sf_dir), "vec_id", code, asked, 5, name, ("label",), bounds), "label")
 
 
-@query(f"WITH {CODES_SQL}, p AS ({CODE_PAIRS}) " + _grouped_sql("CAST(4.0 * ham AS DOUBLE)", "SELECT * FROM p", "euclidean_squared"))
-def knn_agg_int1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unrolled(search.knn_agg(coded(spark, sf_dir), "vec_id", "h", "qh", 5, "euclidean_squared", ("label",)), "label")
+for _name in metric.NAMES:
+    _on = "cosine_distance" if _name == "cosine" else _name
+    for _kind, _sql, _args in (("int8", INT8_SQL, ("c", "qc", "bounds")), ("int1", INT1_SQL, ("h", "qh", None))):
+        query(f"WITH {CODES_SQL}, p AS ({CODE_PAIRS}) " + _grouped_sql(f"round(CAST({_sql[_on]} AS DOUBLE), 9)", "SELECT * FROM p", _name),
+              f"knn_agg_{_kind}_{_name}")(_grouped_codes(_name, *_args))
 
 
 def _rerank_sql(short: str) -> str:

@@ -69,6 +69,16 @@ def test_codes(spark):
     assert value(spark, codes.int8_manhattan_distance(tiny(-128, 0), tiny(127, 0), bounds([0, 0], -1))) == 255
 
 
+def test_int8_cosine_edges(spark):
+    """Only a vector of zeros is an error; extreme bounds are passed on."""
+    tiny = lambda *x: vec(*x, kind="tinyint")
+    of = lambda b, y=(3, 4): value(spark, codes.int8_cosine_similarity(tiny(1, 2), tiny(*y), b))
+    assert math.isnan(of(bounds([0, 0], float("inf")))) and of(bounds([0, 0], 1e-70)) == pytest.approx(11 / math.sqrt(125))
+    assert not math.isfinite(of(bounds([0, 0], 1e-90)))
+    with pytest.raises(Exception, match=exact.NO_MAGNITUDE):
+        of(bounds([0, 0], 1), (0, 0))
+
+
 def test_binary_metrics(spark):
     ones, zeros, dirty = (F.unhex(F.lit(x)) for x in ("000000040F", "0000000400", "00000004FF"))
     got = [value(spark, getattr(codes, n)(ones, zeros)) for n in (
@@ -108,6 +118,22 @@ def test_knn_plan(points):
     assert "TakeOrderedAndProject" in plan
 
 
+def test_knn_distance_once(points):
+    """The distance is computed once a row, and a group that has none needs no second scan."""
+    plan = search.nearest(points, "id", "v", "q", 2, "manhattan")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with") == 1
+    plan = search.knn_agg(points, "id", "v", "q", 2, "euclidean", ("g",))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_bounds_of_empty_vectors(spark):
+    rows = spark.createDataFrame([(1, []), (2, []), (2, [1.0]), (3, None), (3, [None]), (4, [1.0]), (4, [3.0])], "g int, v array<double>")
+    got = {r["g"]: r["bounds"] for r in search.vector_bounds_agg(rows.where("g <> 2"), "v", ("g",)).collect()}
+    assert got[1].asDict() == {"offsets": [], "scale": 0.0} and got[3] is None and got[4].asDict() == {"offsets": [2.0], "scale": 2 / 255}
+    with pytest.raises(Exception, match=exact.SAME_LENGTH):
+        search.vector_bounds_agg(rows, "v", ("g",)).collect()
+
+
 def test_bounds(spark):
     df = spark.createDataFrame([([0.0, 100.0],), ([1.0, 101.0],), ([None, 5.0],), (None,)], "v array<double>")
     b = search.vector_bounds_agg(df, "v").first()["bounds"]
@@ -134,3 +160,68 @@ def test_embedding(spark):
         embed.resolve("word", 0)
     with pytest.raises(ValueError, match="Unknown embedding algorithm 'x'"):
         embed.resolve("x", 3)
+
+
+def test_embedding_columns(spark):
+    """All algorithms against the definition, dimension and algorithm as columns, without an exchange."""
+    import xxhash
+
+    texts = ["Alpha beta, beta ΟΔΟΣ 42 é", "!!!", "x", "漢字 river river stone"]
+    rows = [(t, n, a) for t in texts for n in (1, 7, 64) for a in embed.ALGORITHMS]
+    df = spark.createDataFrame([*rows, (None, 3, "word"), ("x", None, "word")], "t string, n int, a string")
+    found = search.to_vector(df, "t", F.col("n"), F.col("a"), "double")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    for r in found.collect():
+        if r["t"] is None or r["n"] is None:
+            assert r["vector"] is None
+            continue
+        low = r["t"].replace("Σ", "σ").lower()
+        tokens = "".join(c if c.isalnum() else " " for c in low).split() if r["a"] == "word" else [
+            low[k:k + int(r["a"][5])] for k in range(len(low) - int(r["a"][5]) + 1)]
+        v = [0.0] * r["n"]
+        for w in tokens:
+            h = xxhash.xxh64_intdigest(w.encode())
+            v[(h >> 32) * r["n"] >> 32] += -1 if h >> 31 & 1 else 1
+        norm = math.sqrt(sum(x * x for x in v))
+        assert r["vector"] == pytest.approx([x / norm for x in v] if norm else v)
+    for n, a, message in ((0, "word", "between 1 and 65536, got 0"), (3, "x", "Unknown embedding algorithm 'x'")):
+        with pytest.raises(Exception, match=message):
+            search.to_vector(df.limit(1).selectExpr("t", f"{n} AS n", f"'{a}' AS a"), "t", F.col("n"), F.col("a")).collect()
+
+
+def test_tables_and_streams(spark, tmp_path):
+    """Codes are written beside the rows and read alone; distances and embeddings run on a stream, rankings by micro-batch."""
+    from isovec.sources import tables
+    from isovec.streaming import search as streaming
+
+    rows = spark.createDataFrame([(k, [float(k), 1.0 - k], f"word {k}") for k in range(6)], "id long, v array<double>, t string")
+    rows.write.parquet(str(tmp_path / "rows.parquet"))
+    tables.write_codes(rows, "v", search.vector_bounds_agg(rows, "v"), str(tmp_path / "codes.parquet"))
+    coded = tables.read_table(spark, str(tmp_path), "codes").orderBy("id").collect()
+    assert [r["code_int8"] for r in coded][::5] == [[-127, 128 - 1], [128 - 1, -127]] and len(coded[0]["code_int1"]) == 5
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "*rows.parquet"))
+    found, ranked = [], []
+    for frame, sink in ((streaming.with_distance(search.to_vector(stream, "t", 8), "v", [0.0, 1.0], "manhattan"), found),):
+        frame.writeStream.foreachBatch(lambda b, _: sink.extend(b.collect())).trigger(availableNow=True).start().awaitTermination()
+    streaming.nearest_per_batch(stream, "id", "v", [0.0, 1.0], 2, "manhattan", lambda b, _: ranked.extend(b.collect())).trigger(
+        availableNow=True).start().awaitTermination()
+    assert {r["id"]: r["distance"] for r in found} == {k: 2.0 * k for k in range(6)} and all(len(r["vector"]) == 8 for r in found)
+    assert sorted((r["rank"], r["key"]) for r in ranked) == [(1, 0), (2, 1)]
+
+
+@pytest.mark.parametrize("kind, oversample, floor", [("int8", 1, 0.96), ("int1", 10, 0.86)])
+def test_recall(spark, kind, oversample, floor):
+    """Shortlists on codes against exact search: 500 uniform vectors of 32 components, 5 queries, k = 10."""
+    import random
+
+    rng = random.Random(11)
+    rows = spark.createDataFrame([(k, [rng.random() for _ in range(32)]) for k in range(500)], "id long, v array<double>")
+    rows = rows.crossJoin(search.vector_bounds_agg(rows, "v")).withColumn(
+        "c", (codes.quantize_int8 if kind == "int8" else codes.quantize_int1)(F.col("v"), F.col("bounds"))).cache()
+    hit = 0
+    for q in range(5):
+        beside = rows.crossJoin(rows.where(F.col("id") == q).select(F.col("v").alias("q"), F.col("c").alias("qc")))
+        true = {r["key"] for r in search.nearest(beside, "id", "v", "q", 10, "euclidean").collect()}
+        near = search.knn_rerank(beside, "id", "c", "qc", "v", "q", 10, oversample, "euclidean", bounds="bounds" if kind == "int8" else None)
+        hit += len(true & {r["key"] for r in near.collect()})
+    assert hit / 50 >= floor

@@ -3,7 +3,7 @@
 A text's terms are its words, weighted by how often they occur. For each of
 ``SAMPLES`` samples every term draws, from its hash alone, ``r`` and ``c`` from
 Gamma(2, 1) and ``b`` from the unit interval; with weight ``w`` it takes the step
-``t = floor(ln w / r + b)`` and the value ``ln c - r * (t - b + 1)``. The least
+``t = floor(ln w / r + b)`` and the value ``c * exp(-r * (t - b + 1))``. The least
 value is the sample. Two texts have it in common with the probability of their
 generalised Jaccard similarity, sum of lesser weights by sum of greater ones.
 The value depends on the term and its step only, so that it names the sample.
@@ -17,8 +17,8 @@ which orders its own ids; the driver sees the first id of each range.
 Edge cases: a null text counts as empty; a text without words has the
 fingerprint of zeros, like any other such text (1) and unlike all others (0); a
 row of null id has no next document, that is an empty one; of several rows of an
-id, each gets a row and the first read is the one that the preceding document
-sees; a single document is its own next; an empty table gives an empty result;
+id, each gets a row and the one of the least digest is what the preceding document
+sees; long texts are taken whole, their words counted by hash aggregation, which spills; a single document is its own next; an empty table gives an empty result;
 further columns of the input, also of clashing names, are ignored.
 """
 
@@ -41,28 +41,45 @@ def _unit(bits: Column, width: int) -> Column:
 
 
 def sample_value(term: Column, log_weight: Column, k: int) -> Column:
-    """The term's value in sample ``k``. 21 bits make each of the two uniforms of r, 22 that of b, 32 those of c."""
+    """The term's value in sample ``k``, as ``c * exp(-r * (t - b + 1))``, which orders like its logarithm.
+
+    21 bits make each of the two uniforms of r, 22 that of b, 32 those of c."""
     one = F.xxhash64(term, F.lit(k))
     two = F.xxhash64(one)
     r = -F.ln(_unit(F.shiftrightunsigned(one, 43), 21) * _unit(F.shiftrightunsigned(one, 22).bitwiseAND(F.lit((1 << 21) - 1)), 21))
     b = _unit(one.bitwiseAND(F.lit((1 << 22) - 1)), 22)
     c = -F.ln(_unit(F.shiftrightunsigned(two, 32), 32) * _unit(two.bitwiseAND(F.lit((1 << 32) - 1)), 32))
-    return F.ln(c) - r * (F.floor(log_weight / r + b) - b + 1)
+    return c * F.exp(-r * (F.floor(log_weight / r + b) - b + 1))
 
 
-def signatures(texts: DataFrame, key: list[str], sides: list[str]) -> DataFrame:
-    """``key``, ``side`` (a number from 0) and the sample values of each text column named in ``sides``; no row where there is no word.
+def signatures(texts: DataFrame, key: list[str], sides: tuple[str, str]) -> DataFrame:
+    """``key``, ``side`` (0, 1) and the sample values of each of the two text columns ``sides``; no row where there is no word.
 
+    A term of equal weight in both, such as the words that an edit leaves, draws its samples once (side 2 until the end).
     If ``texts`` is partitioned by a part of ``key``, nothing is shuffled."""
     terms = texts.select(*key, F.inline(F.array(*(F.struct(F.lit(i).alias("side"), words(F.col(c)).alias("ws")) for i, c in enumerate(sides)))))
     counted = (terms.select(*key, "side", F.explode("ws").alias("w")).select(*key, "side", F.xxhash64("w").alias("term"))
-               .groupBy(*key, "side", "term").agg(F.ln(F.count("*").cast("double")).alias("lw")))
-    return counted.groupBy(*key, "side").agg(*(F.min(sample_value(F.col("term"), F.col("lw"), k)).alias(NAMES[k]) for k in range(SAMPLES)))
+               .groupBy(*key, "term").agg(F.sum(1 - F.col("side")).alias("m"), F.sum("side").alias("n")))
+
+    def weighed(side: int, weight: str) -> Column:
+        return F.struct(F.lit(side).alias("side"), F.ln(F.col(weight).cast("double")).alias("lw"))
+
+    m, n = F.col("m"), F.col("n")
+    drawn = counted.select(*key, "term", F.inline(F.when(m == n, F.array(weighed(2, "m"))).when(n == 0, F.array(weighed(0, "m")))
+                                                  .when(m == 0, F.array(weighed(1, "n"))).otherwise(F.array(weighed(0, "m"), weighed(1, "n")))))
+    least = drawn.groupBy(*key, "side").agg(*(F.min(sample_value(F.col("term"), F.col("lw"), k)).alias(NAMES[k]) for k in range(SAMPLES)))
+    both = F.when(F.col("side") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array("side"))
+    return least.select(*key, F.explode(both).alias("to"), *NAMES).groupBy(*key, F.col("to").alias("side")).agg(*(F.min(n).alias(n) for n in NAMES))
+
+
+def _mark(text: str) -> Column:
+    """Names one of the rows of an id by what it holds, which holds however often and in whatever order it is read."""
+    return F.xxhash64(text)
 
 
 def ordered(known: DataFrame) -> DataFrame:
-    """``doc_id``, ``uid``, ``half``, ``next_id``, ``next_uid``: each id, its first row and the next document's, ids descending."""
-    ids = materialise(known.groupBy("doc_id").agg(F.min("uid").alias("uid"), F.max(F.floor(F.length("text") / 2)).cast("int").alias("half")),
+    """``doc_id``, ``uid``, ``half``, ``next_id``, ``next_uid``: each id, the mark of its row and of the next document's, ids descending."""
+    ids = materialise(known.groupBy("doc_id").agg(F.min(_mark("text")).alias("uid"), F.max(F.floor(F.length("text") / 2)).cast("int").alias("half")),
                       "fingerprint-ids")
     cuts = ids.agg(F.percentile_approx("doc_id", [k / BLOCKS for k in range(1, BLOCKS)])).first()[0] or []
     block = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
@@ -97,16 +114,16 @@ def _likeness(a: str, b: str) -> Column:
 
 
 def _described(paired: DataFrame) -> DataFrame:
-    """``doc_id``, ``uid``, ``n_chars``, ``edited_sha256``, ``own``, ``changed`` (codes) of rows with ``text`` and ``head``."""
+    """``doc_id``, ``mark``, ``n_chars``, ``edited_sha256``, ``own``, ``changed`` (codes) of rows with ``text`` and ``head``."""
     both = paired.select("doc_id", "uid", "text", edited(F.col("text"), F.col("head")).alias("edit"))
-    found = signatures(both, ["doc_id", "uid"], ["text", "edit"])
-    facts = both.select("doc_id", "uid", F.length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"))
+    found = signatures(both, ["doc_id", "uid"], ("text", "edit"))
+    facts = both.select("doc_id", "uid", F.length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"), _mark("text").alias("mark"))
     # The lower 32 bits, as an array a side: a column a sample and side would be more than Spark compiles.
     coded = found.select("doc_id", "uid", "side", F.array(*(
         F.shiftright(F.shiftleft(F.xxhash64(n), 32), 32).cast("int") for n in NAMES)).alias("codes"))
     sides = coded.groupBy("doc_id", "uid").agg(*(F.max(F.when(F.col("side") == i, F.col("codes"))).alias(p) for i, p in enumerate(("own", "changed"))))
     none = F.array(*[F.lit(0)] * SAMPLES)
-    return facts.join(sides, ["doc_id", "uid"], "left").select("doc_id", "uid", "n_chars", "edited_sha256", *(F.coalesce(p, none).alias(p) for p in ("own", "changed")))
+    return facts.join(sides, ["doc_id", "uid"], "left").select("doc_id", "mark", "n_chars", "edited_sha256", *(F.coalesce(p, none).alias(p) for p in ("own", "changed")))
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -118,17 +135,18 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     known = rows.where("doc_id IS NOT NULL")
     order = ordered(known)
     wanted = order.select(F.col("doc_id").alias("to_id"), "half", F.col("next_id").alias("doc_id"), "next_uid")
-    # The row is chosen by a difference, which keeps the id the only join key, so that
-    # this side reads the very shuffle of texts that the next join reads.
-    heads = (known.join(wanted, "doc_id").where("uid - next_uid = 0")
-             .select("to_id", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head")))
+    # The row is chosen by a difference, which keeps the id the only join key, and uid (never
+    # negative) is looked at, so that this side reads the very shuffle of texts that the next join reads.
+    seen = F.when(F.col("uid") < 0, F.col("next_uid")).otherwise(_mark("text"))
+    heads = (known.join(wanted, "doc_id").where(seen - F.col("next_uid") == 0)
+             .select("to_id", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head")).groupBy("to_id").agg(F.min("head").alias("head")))
     paired = known.join(heads, known["doc_id"] == heads["to_id"], "left").select("doc_id", "uid", "text", F.coalesce("head", F.lit("")).alias("head"))
     # The ids of the null rows lie in no order, and their rows are few or none: they go their own way.
     lone = rows.where("doc_id IS NULL").select("doc_id", "uid", "text", F.lit("").alias("head"))
     held = materialise(_described(paired), "fingerprints")
     alone = _described(lone.withColumn("doc_id", F.lit(0).cast("long"))).withColumn("doc_id", F.lit(None).cast("long"))
-    following = order.join(held.select(F.col("doc_id").alias("next_id"), F.col("uid").alias("next_uid"), F.col("own").alias("next_own")),
-                           ["next_id", "next_uid"]).select("doc_id", "next_own")
+    following = order.join(held.select(F.col("doc_id").alias("next_id"), F.col("mark").alias("next_uid"), F.col("own").alias("next_own"))
+                           .dropDuplicates(["next_id", "next_uid"]), ["next_id", "next_uid"]).select("doc_id", "next_own")
     none = F.array(*[F.lit(0)] * SAMPLES)
     whole = held.join(following, "doc_id", "left").union(alone.withColumn("next_own", none))
     return whole.select("doc_id", "n_chars", "edited_sha256", _hex("own").alias("fingerprint"), _hex("changed").alias("edited_fingerprint"),

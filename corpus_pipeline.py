@@ -47,7 +47,7 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: SQL has neither the automata, nor MinHash, nor XXH64, nor the tokenizer: tests compare with brute force.
+#: SQL has neither the automata, nor MinHash, nor XXH64, nor the tokenizer.
 ORACLE_SQL = None
 
 

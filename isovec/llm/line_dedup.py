@@ -11,11 +11,14 @@
    one in 65,536 pairs passes for equal there. Other keys go no further, nor do
    the texts of lines that have no other.
 3. The lines of a shared key are candidates. Each is first compared with the key's
-   pivot, one of its lines; the exact Jaccard similarity of the shingle sets
-   decides. What is alike is joined. Lines of a key that still belong to several
-   components then meet in blocks of ``BLOCK_LINES``, two blocks at a time, and
-   those of different components are compared. So every candidate pair is compared
-   or already connected, and no row is made for a pair of the second kind.
+   pivot, one of its lines. A sketch of 128 bits bounds the number of shingles that
+   only one of two lines has from below, which rules out most pairs that are not
+   alike before their texts are fetched; of the others the exact Jaccard similarity
+   of the shingle sets decides. What is alike is joined. Lines of a key that still
+   belong to several components then meet in blocks of ``BLOCK_LINES``, two blocks at
+   a time, by sketches first; those of different components that the sketches leave
+   are compared. So every candidate pair is compared, ruled out by a bound or already
+   connected, and no row is made for a pair of the last kind.
 4. Components are joined by distributed union-find. The line that comes first, by
    document id and number, stays.
 
@@ -137,6 +140,31 @@ def least_values(short: np.ndarray, first: np.ndarray, own: np.ndarray) -> np.nd
     return np.minimum.reduceat(out, begin, axis=1)
 
 
+def sketches(lines: list[str]) -> np.ndarray:
+    """Two longs a line, of ``SHINGLE`` characters or more: a bit is the parity of the number of its distinct shingles that hash there.
+
+    The bits in which two sketches differ are the odd ones among the shingles that
+    only one line has, so never more than those."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32)
+    lengths = np.array([len(x) for x in lines])
+    own = lengths - SHINGLE + 1
+    line = np.repeat(np.arange(len(lines), dtype=np.uint64), own)
+    start = np.arange(len(line)) + (line * np.uint64(SHINGLE - 1)).astype(np.int64)
+    value = np.sort(line << np.uint64(32) | rolled(points)[start])
+    value = value[np.append(True, value[1:] != value[:-1])]
+    bit = (value >> np.uint64(32)) * np.uint64(128) + (value & np.uint64(127))
+    odd = np.bincount(bit.astype(np.int64), minlength=128 * len(lines)) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).reshape(-1, 2)
+
+
+def ruled_out(differ, chars):
+    """Whether two lines that differ in so many bits, of so many characters together, cannot reach ``SIMILARITY``.
+
+    Of sets of ``m`` elements together, those in only one of them are at most ``m *
+    (1 - s) / (1 + s)`` if the similarity reaches ``s``. Works on arrays and columns."""
+    return differ * (1 + SIMILARITY) > (chars - 2 * (SHINGLE - 1)) * (1 - SIMILARITY) + 1e-6
+
+
 def band_keys(lines: list[str]) -> np.ndarray:
     """A key of ``KEY_BITS`` a line and band, for lines of ``SHINGLE`` characters or more."""
     points = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32)
@@ -284,11 +312,24 @@ def _shared(table: pa.Table) -> pa.Table:
 
 
 CANDIDATE = pa.schema([("text", pa.bool_()), ("key", pa.int64()), ("blocks", pa.int64()), ("pivot", pa.bool_()), ("many", pa.bool_()), ("h", pa.binary()),
-                       ("line", pa.binary())])
+                       ("s0", pa.int64()), ("s1", pa.int64()), ("chars", pa.int64()), ("line", pa.binary())])
+
+
+def _batches(lines: list[str]) -> Iterator[list[str]]:
+    """The lines in order, about ``SIGNED_CHARS`` characters at a time."""
+    held, size = [], 0
+    for line in lines:
+        held.append(line)
+        size += len(line)
+        if size >= SIGNED_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _given(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    """Of a part: its lines' shared keys, and once the text of each such line."""
+    """Of a part: once the text of each line of a shared key, and its lines' shared keys."""
     by = defaultdict(list)
     for r in rows:
         by[r["kind"]].append(r)
@@ -299,25 +340,31 @@ def _given(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     held = {b: place[b][t["at"]] for b, t in told.items()}
     chunks = sorted(by[LINES], key=lambda r: r["bucket"])
     hashes = [r["b"][16 * k:16 * k + 16] for r in chunks for k in range(r["n"])]
-    for b, t in told.items():
-        n = len(t)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(n, bool)), pa.array(t["key"].astype(np.int64)), pa.array(t["blocks"].astype(np.int64)), pa.array(t["pivot"] > 0), pa.array(t["many"] > 0),
-             pa.array([hashes[i] for i in held[b].tolist()], pa.binary()), pa.nulls(n, pa.binary())], schema=CANDIDATE)
     wanted = np.unique(np.concatenate(list(held.values())))
+    facts = np.zeros((len(hashes), 3), np.int64)
     for k, r in enumerate(chunks):
         own = wanted[(wanted >= k * LINES_A_ROW) & (wanted < (k + 1) * LINES_A_ROW)].tolist()
         if own:
-            lines = zstandard.decompress(r["a"]).split(b"\n")
+            every = zstandard.decompress(r["a"]).split(b"\n")
+            lines = [every[i - k * LINES_A_ROW] for i in own]
             n = len(own)
+            plain = [x.decode() for x in lines]
+            facts[own, :2] = np.concatenate([sketches(some) for some in _batches(plain)])
+            facts[own, 2] = [len(x) for x in plain]
+            longs, flags = pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(n, bool)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.bool_()),
-                 pa.array([hashes[i] for i in own], pa.binary()), pa.array([lines[i - k * LINES_A_ROW] for i in own], pa.binary())], schema=CANDIDATE)
+                [pa.array(np.ones(n, bool)), longs, longs, flags, flags, pa.array([hashes[i] for i in own], pa.binary()), longs, longs, longs,
+                 pa.array(lines, pa.binary())], schema=CANDIDATE)
+    for b, t in told.items():
+        n, own = len(t), held[b]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.zeros(n, bool)), pa.array(t["key"].astype(np.int64)), pa.array(t["blocks"].astype(np.int64)), pa.array(t["pivot"] > 0), pa.array(t["many"] > 0),
+             pa.array([hashes[i] for i in own.tolist()], pa.binary()), *(pa.array(facts[own, c]) for c in range(3)), pa.nulls(n, pa.binary())], schema=CANDIDATE)
 
 
 def candidates(told: DataFrame) -> DataFrame:
     """From the rows of parts of kinds ``HOLDERS``, ``LINES``, ``SHARED``: rows ``key``, ``blocks``, ``pivot``, ``many``
-    (more than two), ``h`` for each shared key of a line, and rows with ``text`` set of ``h``, ``line``."""
+    (more than two), ``h``, ``s0``, ``s1``, ``chars`` for each shared key of a line, and rows with ``text`` set of ``h``, ``line``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
@@ -330,7 +377,7 @@ def candidates(told: DataFrame) -> DataFrame:
         yield from _given(rows)
 
     held = told.select("kind", "part", "bucket", "n", "a", "b").repartition("part").sortWithinPartitions("part")
-    return held.mapInArrow(run, "text boolean, key long, blocks long, pivot boolean, many boolean, h binary, line binary")
+    return held.mapInArrow(run, "text boolean, key long, blocks long, pivot boolean, many boolean, h binary, s0 long, s1 long, chars long, line binary")
 
 
 def codes(lines: list[str]) -> list[np.ndarray]:
@@ -458,6 +505,41 @@ def star_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+NEAR = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("h", pa.binary()), ("root", pa.binary()), ("block", pa.int64())])
+
+
+def near_lines(meeting: DataFrame) -> DataFrame:
+    """Of the lines that meet, those that have a line of another ``root`` there which their sketches do not rule out."""
+    keys = ["key", "x", "y"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        for group in _groups(batches, 3):
+            pivot = {r[3] for r in group if r[6]}  # compared with all others already
+            own = list({r[3]: r for r in group if r[3] not in pivot}.values())  # a line of several parts comes several times
+            if len(own) < 2:
+                continue
+            names: dict[bytes, int] = {}
+            root = np.array([names.setdefault(r[4], len(names)) for r in own])
+            first, second = (np.array([r[c] for r in own], np.int64).view(np.uint64) for c in (7, 8))  # of a negative number the magnitude's bits would be counted
+            chars = np.array([r[9] for r in own])
+            apart = root[:, None] != root
+            if group[0][1] != group[0][2]:
+                block = np.array([r[5] for r in own])
+                apart &= block[:, None] != block
+            differ = np.bitwise_count(first[:, None] ^ first) + np.bitwise_count(second[:, None] ^ second)
+            apart &= ~ruled_out(differ, chars[:, None] + chars)
+            found += [own[k][:6] for k in np.flatnonzero(apart.any(1)).tolist()]
+            if len(found) > LINES_A_ROW:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), NEAR.types, strict=True)], schema=NEAR)
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), NEAR.types, strict=True)], schema=NEAR)
+
+    held = meeting.select(*keys, "h", "root", "block", "pivot", "s0", "s1", "chars").repartition(*keys).sortWithinPartitions(*keys)
+    return held.mapInArrow(run, "key long, x long, y long, h binary, root binary, block long")
+
+
 def block_links(meeting: DataFrame) -> DataFrame:
     """``a``, ``b``: links between lines ``h``, ``line`` of different ``root`` that meet, those of blocks ``x`` and ``y`` of a ``key``."""
 
@@ -484,9 +566,8 @@ def block_links(meeting: DataFrame) -> DataFrame:
             yield _linked(a, b)
 
         for group in _groups(batches, 3):
-            pivot = {r[3] for r in group if r[7]}  # compared with all others already
-            own = {r[3]: r for r in group if r[3] not in pivot}  # a line of several parts comes several times
-            if len(own) > 1 and len({r[5] for r in own.values()}) > 1:
+            own = {r[3]: r for r in group}
+            if len({r[5] for r in own.values()}) > 1:
                 waiting.append((own, group[0][1] != group[0][2]))
                 size += sum(len(r[4]) for r in own.values())
                 if size >= SIGNED_CHARS:
@@ -495,7 +576,7 @@ def block_links(meeting: DataFrame) -> DataFrame:
         yield from settled()
 
     keys = ["key", "x", "y"]
-    return meeting.select(*keys, "h", "line", "root", "block", "pivot").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary")
+    return meeting.select(*keys, "h", "line", "root", "block").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary")
 
 
 def line_links(own: DataFrame, path: str) -> DataFrame:
@@ -510,18 +591,22 @@ def line_links(own: DataFrame, path: str) -> DataFrame:
     texts = materialise(given.where("text").select("h", "line").dropDuplicates(["h"]), "line-texts", texts_path)
     discard(spark, f"{given_path}/text=true")
 
-    held = given.where("NOT text").select("key", "blocks", "pivot", "many", "h")
-    pivots = held.where("pivot").select("key", F.col("h").alias("p"))
-    stars = held.join(pivots, "key").where("h <> p").select(F.greatest("h", "p").alias("a"), F.least("h", "p").alias("b")).distinct()
+    facts = ["s0", "s1", "chars"]
+    held = given.where("NOT text").select("key", "blocks", "pivot", "many", "h", *facts)
+    pivots = held.where("pivot").select("key", *(F.col(c).alias(f"p_{c}") for c in ("h", *facts)))
+    differ = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"p_{c}"))) for c in ("s0", "s1"))
+    near = ~ruled_out(differ, F.col("chars") + F.col("p_chars"))
+    stars = held.join(pivots, "key").where((F.col("h") != F.col("p_h")) & near).select(F.greatest("h", "p_h").alias("a"), F.least("h", "p_h").alias("b")).distinct()
     roots = connected_components(star_links(stars, texts), "line-links")
 
     # Keys of more than two lines that are not all connected.
-    marked = held.where("many").join(roots, held["h"] == roots["node"], "left").select("key", "blocks", "pivot", "h", F.coalesce("root", "h").alias("root"))
+    marked = held.where("many").join(roots, held["h"] == roots["node"], "left").select("key", "blocks", "pivot", "h", F.coalesce("root", "h").alias("root"), *facts)
     apart = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     block = F.pmod(F.xxhash64("h"), F.col("blocks"))
-    meeting = (marked.join(apart, "key").join(texts, "h").withColumn("block", block)
+    meeting = (marked.join(apart, "key").withColumn("block", block)
                .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
                .withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}))
+    meeting = near_lines(meeting).join(texts, "h")
     linked = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(block_links(meeting))
     found = connected_components(linked, "line-links")
     for gone in (given_path, texts_path):

@@ -446,3 +446,27 @@ def test_packing(docs, rows, monkeypatch):
         bins[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(bins.values()) <= 4096 and len(bins) <= -(-sum(r["length"] for r in found) // 4096) + 2
     assert packing.pack(docs.limit(0), path).count() == 0
+
+
+def test_line_sketches():
+    """Sketches never rule out a pair that is alike, and rule out most of the others."""
+    rng = random.Random(1)
+    lines = []
+    for _ in range(50):
+        line = "".join(rng.choices("abcdef ", k=rng.randint(5, 200)))
+        lines.append(line)
+        for _ in range(5):
+            at = rng.sample(range(len(line)), rng.randint(1, 3))
+            lines.append("".join("é" if k in at else c for k, c in enumerate(line)))
+    bits = line_dedup.sketches(lines).view(np.uint64)
+    sets = [line_dedup.shingles(x) for x in lines]
+    out = unlike = 0
+    for i in range(len(lines)):
+        for j in range(i):
+            differ = int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+            gone = line_dedup.ruled_out(differ, len(lines[i]) + len(lines[j]))
+            assert differ <= len(sets[i] ^ sets[j])
+            like = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            assert not (like and gone)
+            out, unlike = out + bool(gone), unlike + (not like)
+    assert out > 0.9 * unlike

@@ -11,7 +11,7 @@
    one in 65,536 pairs passes for equal there. Other keys go no further, nor do
    the texts of lines that have no other.
 3. The lines of a shared key are candidates. Each is first compared with the key's
-   pivot, one of its lines. A sketch of 128 bits bounds the number of shingles that
+   pivot, one of its lines. A sketch of 256 bits bounds the number of shingles that
    only one of two lines has from below, which rules out most pairs that are not
    alike before their texts are fetched; of the others the exact Jaccard similarity
    of the shingle sets decides. What is alike is joined. Lines of a key that still
@@ -71,6 +71,8 @@ SIGNED_CHARS = 1_000_000
 COLUMN = 32
 COLUMNS = 2048
 KEY_BITS = 48
+#: Longs of a sketch.
+SKETCH = 4
 #: Keys that a bucket is to merge.
 BUCKET_KEYS = 2_000_000
 BLOCK_LINES = 512
@@ -141,7 +143,7 @@ def least_values(short: np.ndarray, first: np.ndarray, own: np.ndarray) -> np.nd
 
 
 def sketches(lines: list[str]) -> np.ndarray:
-    """Two longs a line, of ``SHINGLE`` characters or more: a bit is the parity of the number of its distinct shingles that hash there.
+    """``SKETCH`` longs a line, of ``SHINGLE`` characters or more: a bit is the parity of the number of its distinct shingles that hash there.
 
     The bits in which two sketches differ are the odd ones among the shingles that
     only one line has, so never more than those."""
@@ -152,9 +154,9 @@ def sketches(lines: list[str]) -> np.ndarray:
     start = np.arange(len(line)) + (line * np.uint64(SHINGLE - 1)).astype(np.int64)
     value = np.sort(line << np.uint64(32) | rolled(points)[start])
     value = value[np.append(True, value[1:] != value[:-1])]
-    bit = (value >> np.uint64(32)) * np.uint64(128) + (value & np.uint64(127))
-    odd = np.bincount(bit.astype(np.int64), minlength=128 * len(lines)) & 1
-    return np.packbits(odd.astype(bool)).view(np.int64).reshape(-1, 2)
+    bit = (value >> np.uint64(32)) * np.uint64(64 * SKETCH) + (value & np.uint64(0xFFFFFFFF)) % np.uint64(64 * SKETCH)
+    odd = np.bincount(bit.astype(np.int64), minlength=64 * SKETCH * len(lines)) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).reshape(-1, SKETCH)
 
 
 def ruled_out(differ, chars):
@@ -311,8 +313,9 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, SCHEMA)
 
 
+FACTS = [*(f"s{k}" for k in range(SKETCH)), "chars"]
 CANDIDATE = pa.schema([("text", pa.bool_()), ("key", pa.int64()), ("blocks", pa.int64()), ("pivot", pa.bool_()), ("many", pa.bool_()), ("h", pa.binary()),
-                       ("s0", pa.int64()), ("s1", pa.int64()), ("chars", pa.int64()), ("line", pa.binary())])
+                       *((c, pa.int64()) for c in FACTS), ("line", pa.binary())])
 
 
 def _batches(lines: list[str]) -> Iterator[list[str]]:
@@ -341,7 +344,7 @@ def _given(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     chunks = sorted(by[LINES], key=lambda r: r["bucket"])
     hashes = [r["b"][16 * k:16 * k + 16] for r in chunks for k in range(r["n"])]
     wanted = np.unique(np.concatenate(list(held.values())))
-    facts = np.zeros((len(hashes), 3), np.int64)
+    facts = np.zeros((len(hashes), len(FACTS)), np.int64)
     for k, r in enumerate(chunks):
         own = wanted[(wanted >= k * LINES_A_ROW) & (wanted < (k + 1) * LINES_A_ROW)].tolist()
         if own:
@@ -349,22 +352,22 @@ def _given(rows: list[dict]) -> Iterator[pa.RecordBatch]:
             lines = [every[i - k * LINES_A_ROW] for i in own]
             n = len(own)
             plain = [x.decode() for x in lines]
-            facts[own, :2] = np.concatenate([sketches(some) for some in _batches(plain)])
-            facts[own, 2] = [len(x) for x in plain]
+            facts[own, :SKETCH] = np.concatenate([sketches(some) for some in _batches(plain)])
+            facts[own, SKETCH] = [len(x) for x in plain]
             longs, flags = pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(n, bool)), longs, longs, flags, flags, pa.array([hashes[i] for i in own], pa.binary()), longs, longs, longs,
+                [pa.array(np.ones(n, bool)), longs, longs, flags, flags, pa.array([hashes[i] for i in own], pa.binary()), *[longs] * len(FACTS),
                  pa.array(lines, pa.binary())], schema=CANDIDATE)
     for b, t in told.items():
         n, own = len(t), held[b]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.zeros(n, bool)), pa.array(t["key"].astype(np.int64)), pa.array(t["blocks"].astype(np.int64)), pa.array(t["pivot"] > 0), pa.array(t["many"] > 0),
-             pa.array([hashes[i] for i in own.tolist()], pa.binary()), *(pa.array(facts[own, c]) for c in range(3)), pa.nulls(n, pa.binary())], schema=CANDIDATE)
+             pa.array([hashes[i] for i in own.tolist()], pa.binary()), *(pa.array(facts[own, c]) for c in range(len(FACTS))), pa.nulls(n, pa.binary())], schema=CANDIDATE)
 
 
 def candidates(told: DataFrame) -> DataFrame:
     """From the rows of parts of kinds ``HOLDERS``, ``LINES``, ``SHARED``: rows ``key``, ``blocks``, ``pivot``, ``many``
-    (more than two), ``h``, ``s0``, ``s1``, ``chars`` for each shared key of a line, and rows with ``text`` set of ``h``, ``line``."""
+    (more than two), ``h``, ``FACTS`` for each shared key of a line, and rows with ``text`` set of ``h``, ``line``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
@@ -377,7 +380,7 @@ def candidates(told: DataFrame) -> DataFrame:
         yield from _given(rows)
 
     held = told.select("kind", "part", "bucket", "n", "a", "b").repartition("part").sortWithinPartitions("part")
-    return held.mapInArrow(run, "text boolean, key long, blocks long, pivot boolean, many boolean, h binary, s0 long, s1 long, chars long, line binary")
+    return held.mapInArrow(run, "text boolean, key long, blocks long, pivot boolean, many boolean, h binary, " + "".join(f"{c} long, " for c in FACTS) + "line binary")
 
 
 def codes(lines: list[str]) -> list[np.ndarray]:
@@ -521,13 +524,13 @@ def near_lines(meeting: DataFrame) -> DataFrame:
                 continue
             names: dict[bytes, int] = {}
             root = np.array([names.setdefault(r[4], len(names)) for r in own])
-            first, second = (np.array([r[c] for r in own], np.int64).view(np.uint64) for c in (7, 8))  # of a negative number the magnitude's bits would be counted
-            chars = np.array([r[9] for r in own])
+            facts = np.array([r[7:] for r in own], np.int64)
+            bits, chars = facts[:, :SKETCH].astype(np.uint64), facts[:, SKETCH]  # of a negative number the magnitude's bits would be counted
             apart = root[:, None] != root
             if group[0][1] != group[0][2]:
                 block = np.array([r[5] for r in own])
                 apart &= block[:, None] != block
-            differ = np.bitwise_count(first[:, None] ^ first) + np.bitwise_count(second[:, None] ^ second)
+            differ = sum(np.bitwise_count(x[:, None] ^ x).astype(np.int64) for x in bits.T)
             apart &= ~ruled_out(differ, chars[:, None] + chars)
             found += [own[k][:6] for k in np.flatnonzero(apart.any(1)).tolist()]
             if len(found) > LINES_A_ROW:
@@ -536,7 +539,7 @@ def near_lines(meeting: DataFrame) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), NEAR.types, strict=True)], schema=NEAR)
 
-    held = meeting.select(*keys, "h", "root", "block", "pivot", "s0", "s1", "chars").repartition(*keys).sortWithinPartitions(*keys)
+    held = meeting.select(*keys, "h", "root", "block", "pivot", *FACTS).repartition(*keys).sortWithinPartitions(*keys)
     return held.mapInArrow(run, "key long, x long, y long, h binary, root binary, block long")
 
 
@@ -591,25 +594,28 @@ def line_links(own: DataFrame, path: str) -> DataFrame:
     texts = materialise(given.where("text").select("h", "line").dropDuplicates(["h"]), "line-texts", texts_path)
     discard(spark, f"{given_path}/text=true")
 
-    facts = ["s0", "s1", "chars"]
-    held = given.where("NOT text").select("key", "blocks", "pivot", "many", "h", *facts)
-    pivots = held.where("pivot").select("key", *(F.col(c).alias(f"p_{c}") for c in ("h", *facts)))
-    differ = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"p_{c}"))) for c in ("s0", "s1"))
+    held = given.where("NOT text").select("key", "blocks", "pivot", "many", "h", *FACTS)
+    pivots = held.where("pivot").select("key", *(F.col(c).alias(f"p_{c}") for c in ("h", *FACTS)))
+    differ = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"p_{c}"))) for c in FACTS[:SKETCH])
     near = ~ruled_out(differ, F.col("chars") + F.col("p_chars"))
     stars = held.join(pivots, "key").where((F.col("h") != F.col("p_h")) & near).select(F.greatest("h", "p_h").alias("a"), F.least("h", "p_h").alias("b")).distinct()
-    roots = connected_components(star_links(stars, texts), "line-links")
+    # Written, so that the files of this join's shuffles are gone before texts are shuffled.
+    stars_path = scratch_path(spark, "line-stars")
+    roots = connected_components(star_links(materialise(stars, "line-stars", stars_path), texts), "line-links")
+    discard(spark, stars_path)
 
     # Keys of more than two lines that are not all connected.
-    marked = held.where("many").join(roots, held["h"] == roots["node"], "left").select("key", "blocks", "pivot", "h", F.coalesce("root", "h").alias("root"), *facts)
+    marked = held.where("many").join(roots, held["h"] == roots["node"], "left").select("key", "blocks", "pivot", "h", F.coalesce("root", "h").alias("root"), *FACTS)
     apart = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     block = F.pmod(F.xxhash64("h"), F.col("blocks"))
     meeting = (marked.join(apart, "key").withColumn("block", block)
                .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
                .withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}))
-    meeting = near_lines(meeting).join(texts, "h")
+    meeting_path = scratch_path(spark, "line-meeting")
+    meeting = materialise(near_lines(meeting), "line-meeting", meeting_path).join(texts, "h")
     linked = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(block_links(meeting))
     found = connected_components(linked, "line-links")
-    for gone in (given_path, texts_path):
+    for gone in (given_path, texts_path, meeting_path):
         discard(spark, gone)
     return found
 

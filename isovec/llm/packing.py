@@ -6,8 +6,11 @@ A document is its ids and one end id; longer ones are cut into pieces of
 The pieces are dealt into shards of about ``SHARD`` by hash. Every shard is
 evolved by ``ISLANDS`` islands, each a task of its own with its own population.
 Crossover injects whole well-filled bins of one parent into the other, removes
-the other's bins that hold the same pieces, and best-fits the displaced pieces,
-longest first. After each epoch the islands' elites migrate around the ring of
+the other's bins that hold the same pieces and its emptiest ones. A bin then gives
+up to two pieces for displaced ones that fill it better, and what is still
+displaced is best-fitted, longest first. Children are born until none has gained
+for ``STALLED`` generations, or none could: best fit that needs no more bins than
+the sum of lengths must have is the answer itself. After each epoch the islands' elites migrate around the ring of
 their shard. Bins filled to ``FULL`` are final; the pieces of the others are
 dealt and evolved anew with those of all shards, until one shard holds them or
 most of them stay.
@@ -15,8 +18,10 @@ most of them stay.
 A piece's place needs its length alone, so no text or id list moves: an island
 holds ``SHARD`` pairs of numbers, whatever the input.
 
-Edge cases: a null or empty text is a document of the end id alone; every row is
-a document, also of a null or repeated id; an empty table gives an empty result;
+Edge cases: a null or empty text is a document of the end id alone; very long
+texts give many pieces, of which all but the last are full; of packings of equal
+fitness the first found stays, of bins of equal room any; every row is a document,
+also of a null or repeated id; an empty table gives an empty result;
 further columns of the input, also of clashing names, are ignored.
 """
 
@@ -41,9 +46,15 @@ END = 1
 SHARD = 20_000
 ISLANDS = 2
 EPOCHS = 2
-POPULATION = 4
-GENERATIONS = 6
-INJECTED = 0.2
+POPULATION = 12
+#: Generations without a gain after which an island rests, and what counts as one in the mean square of the fill.
+STALLED = 40
+GAIN = 1e-4
+#: Bins injected, and bins emptied, of those of a parent.
+INJECTED = (0.04, 0.2)
+EMPTIED = 0.04
+#: Pieces of a bin that may be given for displaced ones at a time.
+TRIED = 8
 FULL = 0.999
 
 
@@ -129,43 +140,133 @@ def fill(sizes: np.ndarray, bins: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def fitness(sizes: np.ndarray, bins: np.ndarray) -> tuple[int, float]:
+class Displaced:
+    """Pieces without a bin, by length. The lengths that one of them has, and those that two
+    have together, are the set bits of two numbers, so that the best fit is found by a bit scan."""
+
+    def __init__(self, sizes: list[int], pieces: list[int]):
+        self.sizes = sizes
+        self.by_length: dict[int, list[int]] = {}
+        self.add(pieces)
+
+    def add(self, pieces: tuple | list) -> None:
+        for p in pieces:
+            self.by_length.setdefault(self.sizes[p], []).append(p)
+        self.one, self.two = sum(1 << s for s in self.by_length), 0
+        for s, held in self.by_length.items():
+            self.two |= (self.one if len(held) > 1 else self.one & ~(1 << s)) << s
+
+    def longest(self, above: int, most: int) -> tuple[int, ...] | None:
+        """The lengths of one or two pieces that together are longest, if over ``above``, and at most ``most``."""
+        mask = (1 << most + 1) - 1
+        one, two = (self.one & mask).bit_length() - 1, (self.two & mask).bit_length() - 1
+        if max(one, two) <= above:
+            return None
+        if one >= two:
+            return (one,)
+        return next((s, two - s) for s, held in self.by_length.items() if two - s in self.by_length and (two != 2 * s or len(held) > 1))
+
+    def take(self, lengths: tuple[int, ...]) -> list[int]:
+        out = []
+        for s in lengths:
+            out.append(self.by_length[s].pop())
+            if not self.by_length[s]:
+                del self.by_length[s]
+        return out
+
+
+def insert(sizes: list[int], bins: list[list[int]], pieces: list[int], rng: np.random.Generator) -> list[list[int]]:
+    """Puts displaced pieces into bins. First each bin in turn gives up to two of its pieces for one
+    or two displaced ones that fill it better; what is left is best-fitted, longest first."""
+    held = Displaced(sizes, pieces)
+    used = [sum(sizes[p] for p in b) for b in bins]
+    for k in rng.permutation(len(bins)).tolist():
+        room, own = CAPACITY - used[k], bins[k]
+        if not room or not held.by_length:
+            continue
+        some = own if len(own) <= TRIED else [own[i] for i in rng.choice(len(own), TRIED, replace=False)]
+        gain, swap = 0, None
+        for out in [(), *((p,) for p in some), *((p, q) for i, p in enumerate(some) for q in some[:i])]:
+            size = sum(sizes[p] for p in out)
+            if gain == room:
+                break
+            got = held.longest(size + gain, size + room)
+            if got:
+                gain, swap = sum(got) - size, (out, got)
+        if swap:
+            bins[k] = [p for p in own if p not in swap[0]] + held.take(swap[1])
+            held.add(swap[0])
+            used[k] += gain
+    held_open = Open(CAPACITY - np.array(used, np.int64))
+    for p in sorted((p for some in held.by_length.values() for p in some), key=lambda p: -sizes[p]):
+        b = held_open.best_fit(sizes[p])
+        if b == len(bins):
+            bins.append([])
+        bins[b].append(p)
+    return bins
+
+
+def fitness(sizes: list[int], bins: list[list[int]]) -> tuple[int, float]:
     """Fewer bins first, then uneven ones: the mean square of their fill."""
-    used = np.bincount(bins, sizes)
-    return -len(used), float(np.mean((used / CAPACITY) ** 2)) if len(used) else 0.0
-
-
-def cross(sizes: np.ndarray, into: np.ndarray, of: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    used = np.bincount(of, sizes)
-    good = np.flatnonzero(used >= np.quantile(used, 0.5))
-    chosen = rng.choice(good, max(1, int(len(used) * INJECTED)))
-    injected = np.isin(of, chosen)
-    hit = np.isin(into, into[injected])  # bins of which a piece is injected
-    out = np.where(hit, -1, into)
-    out[injected] = of[injected] + into.max() + 1
-    held = out >= 0
-    out[held] = np.unique(out[held], return_inverse=True)[1]
-    loose = np.flatnonzero(~held)
-    # Longest first, with some noise, so that children of equal parents differ.
-    return fill(sizes, out, loose[np.argsort(-sizes[loose] * rng.uniform(0.97, 1, len(loose)), kind="stable")])
-
-
-def evolve(sizes: np.ndarray, known: list[np.ndarray], seed: int) -> np.ndarray:
+    used = [sum(sizes[p] for p in b) / CAPACITY for b in bins]
+    return -len(bins), sum(x * x for x in used) / max(1, len(used))
+
+
+def cross(sizes: list[int], into: list[list[int]], of: list[list[int]], rng: np.random.Generator) -> list[list[int]]:
+    """Well-filled bins of one parent are injected whole; the other's bins that share a piece with them go, and so do its emptiest."""
+    used = np.array([sum(sizes[p] for p in b) for b in of])
+    good = np.flatnonzero(used >= np.median(used))
+    count = max(1, int(len(of) * rng.uniform(*INJECTED)))
+    chosen = rng.choice(good, min(count, len(good)), replace=False).tolist()
+    injected = {p for k in chosen for p in of[k]}
+    fills = np.array([sum(sizes[p] for p in b) for b in into]) * rng.uniform(0.9, 1, len(into))
+    emptied = set(np.argsort(fills, kind="stable")[:max(2, int(len(into) * EMPTIED))].tolist())
+    bins, displaced = [list(of[k]) for k in chosen], []
+    for k, b in enumerate(into):
+        if k in emptied or not injected.isdisjoint(b):
+            displaced += [p for p in b if p not in injected]
+        else:
+            bins.append(list(b))
+    return insert(sizes, bins, displaced, rng)
+
+
+def least_bins(lengths: np.ndarray) -> int:
+    """No packing has fewer: by the sum of lengths, and by pieces of which no two share a bin."""
+    return max(-(-int(lengths.sum()) // CAPACITY), int(np.count_nonzero(2 * lengths > CAPACITY)))
+
+
+def _listed(bins: np.ndarray) -> list[list[int]]:
+    order = np.argsort(bins, kind="stable")
+    return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(bins[order])) + 1)] if len(bins) else []
+
+
+def evolve(lengths: np.ndarray, known: list[np.ndarray], seed: int) -> np.ndarray:
+    """A bin from 0 on for every piece. Best fit alone is the answer where it needs no more bins than must be."""
     rng = np.random.default_rng(seed)
-    none = np.full(len(sizes), -1, np.int64)
-    living = [k.copy() for k in known]
+    least = least_bins(lengths)
+    none = np.full(len(lengths), -1, np.int64)
+    for x in known or [fill(lengths, none, np.argsort(-lengths, kind="stable"))]:
+        if int(x.max(initial=-1)) + 1 <= least:
+            return x
+    sizes = lengths.tolist()
+    living = [_listed(x) for x in known] or [_listed(x)]
     while len(living) < POPULATION:
-        noise = 1 if not living else rng.uniform(0.9, 1, len(sizes))
-        living.append(fill(sizes, none, np.argsort(-sizes * noise, kind="stable")))
-    ranked = sorted(((fitness(sizes, x), k, x) for k, x in enumerate(living)), reverse=True)
-    least = -(-int(sizes.sum()) // CAPACITY)
-    for g in range(GENERATIONS):
-        if -ranked[0][0][0] <= least:
-            break
-        a, b = rng.choice(len(ranked), 2, replace=False)
-        child = cross(sizes, ranked[min(a, b)][2], ranked[max(a, b)][2], rng)
-        ranked = sorted([*ranked, (fitness(sizes, child), POPULATION + g, child)], reverse=True)[:POPULATION]
-    return ranked[0][2]
+        order = np.argsort(-lengths * rng.uniform(0.8, 1, len(sizes)), kind="stable")
+        living.append(_listed(fill(lengths, none, order)))
+    ranked = sorted(((fitness(sizes, x), -k, x) for k, x in enumerate(living)), reverse=True)
+    born = stalled = 0
+    while stalled < STALLED and -ranked[0][0][0] > least:
+        a, b = rng.choice(len(ranked), 2, replace=False).tolist()
+        child = cross(sizes, ranked[a][2], ranked[b][2], rng)
+        found, best = fitness(sizes, child), ranked[0][0]
+        born += 1
+        stalled = 0 if found[0] > best[0] or found[0] == best[0] and found[1] > best[1] + GAIN else stalled + 1
+        if all(found != x[0] for x in ranked):  # of equal ones the first stays
+            ranked = sorted([*ranked, (found, -POPULATION - born, child)], reverse=True)[:POPULATION]
+    out = np.empty(len(sizes), np.int64)
+    for k, b in enumerate(ranked[0][2]):
+        out[b] = k
+    return out
 
 
 STATE = "shard long, island int, uid long, length long, bin long, n_bins long, fitness double"
@@ -177,7 +278,8 @@ def _epoch(frame: pd.DataFrame) -> pd.DataFrame:
     known = [x for x in (frame["mine"].to_numpy(np.int64), frame["theirs"].to_numpy(np.int64)) if (x >= 0).all()]
     shard, island = int(frame["shard"].iloc[0]), int(frame["island"].iloc[0])
     bins = evolve(sizes, known, shard * ISLANDS + island + 1)
-    count, quality = fitness(sizes, bins)
+    used = np.bincount(bins, sizes) / CAPACITY
+    count, quality = -len(used), float(np.mean(used ** 2))
     return pd.DataFrame({"shard": frame["shard"], "island": frame["island"], "uid": frame["uid"], "length": sizes, "bin": bins,
                          "n_bins": -count, "fitness": quality})
 

@@ -470,3 +470,26 @@ def test_line_sketches():
             assert not (like and gone)
             out, unlike = out + bool(gone), unlike + (not like)
     assert out > 0.9 * unlike
+
+
+def test_packing_evolves():
+    """Where best fit is not enough: triplets that fill 300 bins, and lengths for which four or fewer share a bin."""
+    rng = random.Random(1)
+    triplets = []
+    while len(triplets) < 900:
+        a = rng.randrange(1100, 2000)
+        b = rng.randrange(900, (4096 - a) * 2 // 3)
+        if 4096 - a - b > 600:
+            triplets += [a, b, 4096 - a - b]
+    for lengths, most in ((np.array(triplets), 305), (np.array([rng.randrange(800, 1700) for _ in range(900)]), None)):
+        least = packing.least_bins(lengths)
+        best_fit = packing.fill(lengths, np.full(900, -1), np.argsort(-lengths, kind="stable"))
+        bins = [packing.evolve(lengths, [], seed) for seed in (1, 2)]
+        again = packing.evolve(lengths, bins, 3)
+        for x in (*bins, again):
+            assert np.bincount(x, lengths).max() <= 4096 and set(x) == set(range(x.max() + 1))
+        assert least <= again.max() + 1 <= min(x.max() + 1 for x in bins) <= best_fit.max() + 1 - 10
+        assert again.max() + 1 <= (most or least + 2)
+    full = np.array([4096] * 5 + [2048] * 6)
+    assert packing.evolve(full, [], 1).max() + 1 == 8
+    assert packing.least_bins(np.array([2100] * 7)) == 7

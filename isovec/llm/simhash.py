@@ -17,9 +17,9 @@ exactly if they share such a value, so that linking each to the least holder of
 every value it emits joins the same components, with linear work.
 
 Edge cases: null texts and texts without words have fingerprint 0 and link like
-any other; rows of equal id and text give one row; rows of null id get the
-component of their fingerprint, null if none there has an id; an empty table
-gives an empty result; further columns of the input, also of clashing names, are
+any other; very long texts are hashed whole; every row gives a row, also of a
+null or repeated id; rows of null id get the component of their fingerprint, null
+if none there has an id; an empty table gives an empty result; further columns of the input, also of clashing names, are
 ignored by ``near_duplicates`` and kept by ``filter_documents``.
 """
 
@@ -56,20 +56,23 @@ def hashes(text: Column, size: int = SHINGLE) -> tuple[Column, Column]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp`` (a long) of every distinct id and text.
+    """``doc_id`` and ``fp`` (a long) of every row.
 
     The bits are counted in one aggregation, all of whose sums are 64-bit
     integers, combined before the shuffle; a text's words never leave its task.
+    Rows of one id and text in a partition of the input are counted together:
+    all sums are then multiples of one text's, and give the same bits.
     """
     box = Isolated(docs)
     split, shingled = hashes(box["text"])
     rows = (box.df.select(box["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(box["text"], F.lit(""))).alias("s_text"),
-                          split.alias("s_words"))
-            .select("doc_id", "s_text", F.explode_outer(shingled).alias("h")))
-    sums = rows.groupBy("doc_id", "s_text").agg(
-        F.count("h").alias("n"), *(F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)))
+                          F.spark_partition_id().alias("s_part"), split.alias("s_words"))
+            .select("doc_id", "s_text", "s_part", F.posexplode_outer(shingled).alias("at", "h")))
+    sums = rows.groupBy("doc_id", "s_text", "s_part").agg(
+        F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("copies"), F.count("h").alias("n"), *(F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)))
     bits = [F.when(F.col(f"b{b}") * 2 > F.col("n"), F.lit(_signed(1 << b)).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(64)]
-    return sums.select("doc_id", reduce(Column.bitwiseOR, bits).alias("fp"))
+    return (sums.select("doc_id", reduce(Column.bitwiseOR, bits).alias("fp"), "copies")
+            .select("doc_id", "fp", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "fp"))
 
 
 def _turned(fp: Column, segment: Column) -> Column:
@@ -103,7 +106,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``fp``, ``component_id`` of every distinct id and text."""
+    """``doc_id``, ``fp``, ``component_id`` of every row."""
     held = materialise(fingerprints(docs), "simhash")
     distinct = held.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(distinct.select("fp")), "simhash-links")

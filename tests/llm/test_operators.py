@@ -258,7 +258,9 @@ def fingerprint(t):
 @pytest.mark.parametrize("crowd", [64, 1])
 def test_simhash(docs, rows, monkeypatch, crowd):
     monkeypatch.setattr(simhash, "CROWD", crowd)
-    found = known(simhash.near_duplicates(docs))
+    every = simhash.near_duplicates(docs)
+    assert Counter(r["doc_id"] for r in every.collect()) == Counter(i for i, _, _ in rows)  # repeated rows too
+    found = known(every)
     fps = {i: fingerprint(t) for i, t, _ in rows if i is not None}
     root = {i: i for i in fps}
     for _ in fps:  # labels spread until they settle

@@ -9,8 +9,9 @@ Crossover injects whole well-filled bins of one parent into the other, removes
 the other's bins that hold the same pieces and its emptiest ones. A bin then gives
 up to two pieces for displaced ones that fill it better, and what is still
 displaced is best-fitted, longest first. Children are born until none has gained
-for ``STALLED`` generations, or none could: best fit that needs no more bins than
-the sum of lengths must have is the answer itself. After each epoch the islands' elites migrate around the ring of
+for ``STALLED`` generations, or none could: bins that best fit fills to ``FULL``
+stay, and where it needs no more bins for the other pieces than the sum of their
+lengths must have, it is the answer itself. After each epoch the islands' elites migrate around the ring of
 their shard. Bins filled to ``FULL`` are final; the pieces of the others are
 dealt and evolved anew with those of all shards, until one shard holds them or
 most of them stay.
@@ -241,15 +242,31 @@ def _listed(bins: np.ndarray) -> list[list[int]]:
 
 
 def evolve(lengths: np.ndarray, known: list[np.ndarray], seed: int) -> np.ndarray:
-    """A bin from 0 on for every piece. Best fit alone is the answer where it needs no more bins than must be."""
+    """A bin from 0 on for every piece. The bins that best fit fills to ``FULL`` stay, the same on every
+    island; the pieces of the others are searched unless they are in as few bins as must be."""
+    if not len(lengths):
+        return np.zeros(0, np.int64)
+    first = fill(lengths, np.full(len(lengths), -1, np.int64), np.argsort(-lengths, kind="stable"))
+    full = np.bincount(first, lengths) >= FULL * CAPACITY
+    core = ~full[first]
+    out = np.empty(len(lengths), np.int64)
+    out[~core] = (np.cumsum(full) - 1)[first[~core]]
+    if core.any():
+        held = [np.unique(x[core], return_inverse=True)[1] for x in known or [first]]
+        out[core] = int(full.sum()) + search(lengths[core], held, seed)
+    return out
+
+
+def search(lengths: np.ndarray, known: list[np.ndarray], seed: int) -> np.ndarray:
+    """The fittest packing that an island finds from those that are known."""
     rng = np.random.default_rng(seed)
     least = least_bins(lengths)
-    none = np.full(len(lengths), -1, np.int64)
-    for x in known or [fill(lengths, none, np.argsort(-lengths, kind="stable"))]:
-        if int(x.max(initial=-1)) + 1 <= least:
+    for x in known:
+        if int(x.max()) + 1 <= least:
             return x
+    none = np.full(len(lengths), -1, np.int64)
     sizes = lengths.tolist()
-    living = [_listed(x) for x in known] or [_listed(x)]
+    living = [_listed(x) for x in known]
     while len(living) < POPULATION:
         order = np.argsort(-lengths * rng.uniform(0.8, 1, len(sizes)), kind="stable")
         living.append(_listed(fill(lengths, none, order)))

@@ -41,7 +41,7 @@ from .common import Isolated, fold
 
 FIT_ROWS = 16
 BLOCK = 1024
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 
@@ -171,9 +171,10 @@ class Parser:
         for r in refs:  # one automaton at a time: as dictionaries they are large
             roots.append(total)
             automaton = suffix_automaton(self.classes(r).tolist())
-            keys.append(np.array([(state + total) * self.size + c for state, row in enumerate(automaton) for c in row], np.int64))
-            values.append(np.array([to + total for row in automaton for to in row.values()], np.int64))
+            keys.append(np.fromiter(((state + total) * self.size + c for state, row in enumerate(automaton) for c in row), np.int64))
+            values.append(np.fromiter((to + total for row in automaton for to in row.values()), np.int64))
             total += len(automaton)
+            del automaton
         self.roots = np.array(roots, np.int64)
         none = [np.empty(0, np.int64)]
         self.step = Sparse(np.concatenate(keys or none), np.concatenate(values or none))

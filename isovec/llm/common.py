@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +78,28 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+_kept: dict[Hashable, Any] = {}
+
+
+def keep(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept by a worker from task to task until another key is asked for.
+
+    Workers serve one operator after the other. One that kept something of each would hold all of it at once."""
+    if key not in _kept:
+        release()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Forgets what the worker keeps, and gives its free memory back to the system."""
+    _kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 @lru_cache(maxsize=8)
 def _own_root(application: str) -> str:
     root = tempfile.mkdtemp(prefix="isovec-scratch-")

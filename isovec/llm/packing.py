@@ -28,18 +28,20 @@ further columns of the input, also of clashing names, are ignored.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-from .common import Isolated, materialise
+from .common import Isolated, keep, materialise
 from .units import Memo, encode_units
 
 CAPACITY = 4096
@@ -59,22 +61,63 @@ TRIED = 8
 FULL = 0.999
 
 
+#: Units, and words, that a worker remembers.
+REMEMBERED = 250_000
+#: Letters that lower-case to one letter each and that NFC leaves alone, before and after.
+LETTERS = "".join(c for c in map(chr, range(0x180)) if c.isalpha() and c not in "\xaa\xb5\xba\u0130")
+PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+PLAIN = re.compile(f"([{LETTERS}]+)([{re.escape(PUNCTUATION)}]*)")
+#: What a tokenizer does to a text before its model sees a word, for which ``PLAIN`` units are cut right.
+KNOWN_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
+
+
 class Encoder:
     """Ids as bytes. No token spans white space, and a space or line feed ends
-    every match of the pre-tokenizer, so texts are cut there; what else a unit
-    holds is left to the library."""
+    every match of the pre-tokenizer, so texts are cut there.
+
+    A ``PLAIN`` unit, letters and then punctuation, is two matches, whatever their
+    case: the library's model gets the lower-case letters as they are, without the
+    normalizer and the pre-tokenizer, which take most of the time. What else a unit
+    holds, and every unit where those are not ``KNOWN_STEPS``, is left to the library."""
 
     def __init__(self, path: str):
-        tokenizer = Tokenizer.from_file(path)
-        self.memo = Memo(lambda units: encode_units(tokenizer, units, " "))
+        self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        inside = re.compile(f"[{re.escape(PUNCTUATION)}][{LETTERS}]|[^{LETTERS}{re.escape(PUNCTUATION)}]")
+        self.cuts = (all(spec[k] == v for k, v in KNOWN_STEPS.items()) and spec["model"]["type"] == "BPE" and not spec["model"]["dropout"]
+                     and all(inside.search(t["content"]) for t in spec["added_tokens"]))  # none can stand in a plain unit
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes_of = {ord(c): level.pre_tokenize_str(c.lower())[0][0] for c in LETTERS}
+        self.memo = Memo(self._encoded, REMEMBERED)
+        self.words = Memo(self._modelled, REMEMBERED)
+        self.others = Memo(lambda units: encode_units(self.tokenizer, units, " "), REMEMBERED)
+
+    def _modelled(self, words: list[str]) -> Iterator[bytes]:
+        model = self.tokenizer.model
+        for word in words:
+            ids = [t.id for t in model.tokenize(word)]
+            yield struct.pack(f"<{len(ids)}I", *ids)
+
+    def _encoded(self, units: list[str]) -> list[bytes]:
+        if not self.cuts:
+            return list(encode_units(self.tokenizer, units, " "))
+        cut = [m.groups() if (m := PLAIN.fullmatch(u)) else ("", u) for u in units]
+        begin = self.words.of([a.translate(self.bytes_of) for a, _ in cut])
+        return [a + b for a, b in zip(begin, self.others.of([b for _, b in cut]), strict=True)]
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(self.memo.of((text or "").replace("\n", " ").split(" ")))
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return keep(("packing", path), lambda: Encoder(path))
 
 
 def pieces(docs: DataFrame, path: str) -> DataFrame:

@@ -3,16 +3,18 @@
 import hashlib
 import math
 import random
+import weakref
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 pytest.importorskip("isovec.llm")
 from isovec.llm import (  # noqa: E402
-    katz, language_id, line_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_counts, weighted_minhash)
+    common, katz, language_id, line_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_counts, units, weighted_minhash)
 from isovec.llm.graph import connected_components  # noqa: E402
 from isovec.llm.queries import tokenizer_path  # noqa: E402
 
@@ -495,3 +497,34 @@ def test_packing_evolves():
     full = np.array([4096] * 5 + [2048] * 6)
     assert packing.evolve(full, [], 1).max() + 1 == 8
     assert packing.least_bins(np.array([2100] * 7)) == 7
+
+
+def test_worker_keeps_one(monkeypatch):
+    """What another operator left goes before the next one's is made."""
+    monkeypatch.setattr(common, "_kept", {})
+    alive = []
+    first = common.keep(("a", 1), lambda: {1, 2})
+    assert common.keep(("a", 1), lambda: {3}) is first
+    gone = weakref.ref(common.keep(("b", 1), np.random.default_rng))
+    del first
+    common.keep(("c", 1), lambda: alive.append(gone() is None) or 5)
+    assert alive == [True] and list(common._kept) == [("c", 1)]
+    assert packing.encoder(tokenizer_path("word_bpe_49k.json")) is packing.encoder(tokenizer_path("word_bpe_49k.json"))
+    assert [k[0] for k in common._kept] == ["packing"]
+
+
+def test_packing_encoder(monkeypatch):
+    """Plain units get the library's ids without its normalizer, one word once for all its cases and ends; the rest takes the library's way."""
+    path, asked, library_units = tokenizer_path("word_bpe_49k.json"), [], units.encode_units
+    monkeypatch.setattr(packing, "encode_units", lambda t, some, mark: asked.extend(some) or library_units(t, some, mark))
+    e, library = packing.Encoder(path), Tokenizer.from_file(path)
+    rng = random.Random(4)
+    pieces = [*packing.LETTERS, *packing.PUNCTUATION, "'s", "'LL", "İ", "́", "ª", "µ", "ß", "Σ", "漢", "😀", "7", "٣", " ", "\t", "\r\n", "\x85", "<|endoftext|>",
+              "<|startoftext|>", "the", "River", "STRASSE", "Ĳ", "ŉ", "ſ", "Ÿ"]
+    texts = ["".join(rng.choices([*pieces, " ", "\n"], [1] * len(pieces) + [80, 20], k=rng.randint(0, 60))) for _ in range(1500)]
+    texts += [f"{a}{b}" for a in ("House", "ÉCOLE", "don't", "s") for b in ("", "'", ".'s", "$$$", "?!", "'S", "-a", "...")] + [f"a{c}b {c} {c}." for c in map(chr, range(0x250))]
+    for t in texts:
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    asked.clear()
+    e.encode("Garden garden, GARDEN. gârden! Gârden $$$")
+    assert set(asked) <= {"", ",", ".", "!", "$$$"} and "garden" in e.words and "Garden" not in e.words

@@ -37,11 +37,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Isolated, fold
+from .common import Isolated, fold, keep
 
 FIT_ROWS = 16
 BLOCK = 1024
 BATCH_CHARS = 1_000_000
+#: Texts that are Python strings at a time.
+BATCH_ROWS = 512
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 
@@ -243,25 +245,24 @@ class Parser:
             langs[i], scores[i] = self.langs[best[k]], float(sure[k])
 
 
-@lru_cache(maxsize=4)
-def parser(texts: tuple[tuple[str, str], ...]) -> Parser:
-    return Parser(texts)
-
-
 def classify(df: DataFrame, text: str, fitted: dict[str, str], pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``df`` with the predicted language and its score."""
+    """``df`` with the predicted language and its score. Only texts go to Python, and only predictions come back."""
     texts = tuple(fitted.items())
-    place = df.columns.index(text)
-    schema = T.StructType([*df.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = parser(texts)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        p = keep(("language", texts), lambda: Parser(texts))
         for batch in batches:
-            langs, scores = p.predict(batch.column(place).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             names=[*batch.schema.names, pred, score])
-
-    return df.mapInArrow(run, schema)
+            langs, scores = [], []
+            for at in range(0, len(batch), BATCH_ROWS):
+                some = p.predict(batch.slice(at, BATCH_ROWS).to_pylist())
+                langs += some[0]
+                scores += some[1]
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    # Called nondeterministic so that no rule of the optimizer copies the call.
+    found = F.arrow_udf(run, "lang string, score double").asNondeterministic()
+    return df.withColumn("_found", found(F.col(text))).select(*df.columns, F.col("_found.lang").alias(pred), F.col("_found.score").alias(score))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_SPACE, Isolated, discard, materialise, scratch_path
+from .common import WHITE_SPACE, Isolated, discard, materialise, release, scratch_path
 from .graph import UnionFind, connected_components
 
 SHINGLE = 5
@@ -252,6 +252,7 @@ def parts(docs: DataFrame, bits: int) -> DataFrame:
     """Rows of all parts, and one of kind ``PLACES`` for every line that takes part: ``h``, ``doc_id``, ``line_no``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # a part is large: what an earlier operator left would stand beside it
         number = TaskContext.get().partitionId() << 24
         part = Part(number, bits)
         for batch in batches:
@@ -276,6 +277,8 @@ def parts(docs: DataFrame, bits: int) -> DataFrame:
                         part = Part(number, bits)
             yield places()
         yield from part.rows()
+        part = None
+        release()
 
     return docs.mapInArrow(run, ROW)
 
@@ -600,9 +603,11 @@ def line_links(own: DataFrame, path: str) -> DataFrame:
     near = ~ruled_out(differ, F.col("chars") + F.col("p_chars"))
     stars = held.join(pivots, "key").where((F.col("h") != F.col("p_h")) & near).select(F.greatest("h", "p_h").alias("a"), F.least("h", "p_h").alias("b")).distinct()
     # Written, so that the files of this join's shuffles are gone before texts are shuffled.
-    stars_path = scratch_path(spark, "line-stars")
-    roots = connected_components(star_links(materialise(stars, "line-stars", stars_path), texts), "line-links")
-    discard(spark, stars_path)
+    # Links are written too: union-find in the same task would need a second Python worker, that stays.
+    stars_path, alike_path, blocks_path = (scratch_path(spark, f"line-{x}") for x in ("stars", "alike", "blocks"))
+    roots = connected_components(materialise(star_links(materialise(stars, "line-stars", stars_path), texts), "line-alike", alike_path), "line-links")
+    for gone in (stars_path, alike_path):
+        discard(spark, gone)
 
     # Keys of more than two lines that are not all connected.
     marked = held.where("many").join(roots, held["h"] == roots["node"], "left").select("key", "blocks", "pivot", "h", F.coalesce("root", "h").alias("root"), *FACTS)
@@ -613,9 +618,9 @@ def line_links(own: DataFrame, path: str) -> DataFrame:
                .withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}))
     meeting_path = scratch_path(spark, "line-meeting")
     meeting = materialise(near_lines(meeting), "line-meeting", meeting_path).join(texts, "h")
-    linked = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(block_links(meeting))
+    linked = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(materialise(block_links(meeting), "line-blocks", blocks_path))
     found = connected_components(linked, "line-links")
-    for gone in (given_path, texts_path, meeting_path):
+    for gone in (given_path, texts_path, meeting_path, blocks_path):
         discard(spark, gone)
     return found
 

@@ -4,21 +4,23 @@
    part's distinct lines of at least ``SHINGLE`` characters are signed: the MinHash
    of ``BANDS * ROWS`` values over their character shingles is cut into bands, each
    of which gives a key of 48 bits. A part's keys are sorted, dealt into buckets
-   and kept as compressed arrays beside its compressed lines.
+   and kept as compressed arrays, beside its compressed lines and the facts of each:
+   the number of its shingles and a sketch of 256 bits.
    A shorter line is like its equals only.
 2. A bucket merges the keys of all parts and tells each part which of its keys
-   stand for several different lines; a tag of 16 bits tells lines apart, so that
-   one in 65,536 pairs passes for equal there. Other keys go no further, nor do
-   the texts of lines that have no other.
-3. The lines of a shared key are candidates. Each is first compared with the key's
-   pivot, one of its lines. A sketch of 256 bits bounds the number of shingles that
-   only one of two lines has from below, which rules out most pairs that are not
-   alike before their texts are fetched; of the others the exact Jaccard similarity
-   of the shingle sets decides. What is alike is joined. Lines of a key that still
-   belong to several components then meet in blocks of ``BLOCK_LINES``, two blocks at
-   a time, by sketches first; those of different components that the sketches leave
-   are compared. So every candidate pair is compared, ruled out by a bound or already
-   connected, and no row is made for a pair of the last kind.
+   stand for several different lines; a tag of 16 bits and the bits of the length
+   tell lines apart, so that at most one in 65,536 pairs passes for equal there.
+   Of those keys alone a part sends the lines' facts to the buckets.
+3. There the lines of a key meet. Of two lines the numbers of shingles, and the
+   sketches, bound the similarity from above, which rules out most pairs that are not
+   alike. The pairs that are left get their texts, and nothing else does; the exact
+   Jaccard similarity of the shingle sets decides, and what is alike is joined.
+   A key of more than ``BLOCK_LINES`` lines, or of more than ``PAIRS_A_LINE`` such
+   pairs a line, gives a pair of each line with the key's pivot, one of its lines, in place of
+   all. Its lines that still belong to several components then meet in blocks of
+   ``BLOCK_LINES``, two blocks at a time, by sketches first; those of different
+   components that the sketches leave are compared. So every pair of lines of a key is
+   compared, ruled out by a bound or already connected.
 4. Components are joined by distributed union-find. The line that comes first, by
    document id and number, stays.
 
@@ -73,9 +75,14 @@ COLUMNS = 2048
 KEY_BITS = 48
 #: Longs of a sketch.
 SKETCH = 4
+#: Bits of a line's number in its part, and of a part's number in its task. Both are in a line's ``ref``.
+LINE_BITS = 23
+PART_BITS = 16
 #: Keys that a bucket is to merge.
 BUCKET_KEYS = 2_000_000
 BLOCK_LINES = 512
+#: A key of more pairs a line than these has its lines compared by pivot and blocks.
+PAIRS_A_LINE = 3
 BLOCK_CHARS = 2_000_000
 LINES_A_ROW = 4096
 #: Lines whose components a task remembers while it compares blocks.
@@ -91,7 +98,15 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 ROW = "kind int, part long, bucket int, h binary, doc_id long, line_no int, n long, a binary, b binary"
 SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("bucket", pa.int32()), ("h", pa.binary()), ("doc_id", pa.int64()), ("line_no", pa.int32()),
                     ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
-PLACES, KEYS, HOLDERS, LINES, SHARED = range(5)
+PLACES, KEYS, HOLDERS, FACTS_OF, LINES, SHARED = range(6)
+#: Beside a key: a tag that tells lines apart and the bits of the line's length.
+MARK = np.dtype([("tag", "<u2"), ("size", "u1")])
+#: Of a line: its number in its part, both marks, how many distinct shingles it has at least and how many more at most (``MOST`` and
+#: ``SPARE`` stand for any greater number, too), its sketch.
+FACT = np.dtype([("at", "<u4"), ("tag", "<u2"), ("size", "u1"), ("own", "<u2"), ("spare", "u1"), ("sketch", "<u8", SKETCH)])
+MOST, SPARE = 65_535, 255
+MET = pa.schema([("many", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("blocks", pa.int64())])
+FACTS = [*(f"s{k}" for k in range(SKETCH)), "chars"]
 
 
 def lines_of(text: str | None) -> Iterator[tuple[int, str]]:
@@ -142,21 +157,28 @@ def least_values(short: np.ndarray, first: np.ndarray, own: np.ndarray) -> np.nd
     return np.minimum.reduceat(out, begin, axis=1)
 
 
-def sketches(lines: list[str]) -> np.ndarray:
-    """``SKETCH`` longs a line, of ``SHINGLE`` characters or more: a bit is the parity of the number of its distinct shingles that hash there.
+def sketched(lines: list[str], short: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``SKETCH`` longs a line, of ``SHINGLE`` characters or more, and how many distinct hashes (``short``) its shingles have.
 
-    The bits in which two sketches differ are the odd ones among the shingles that
-    only one line has, so never more than those."""
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32)
-    lengths = np.array([len(x) for x in lines])
-    own = lengths - SHINGLE + 1
-    line = np.repeat(np.arange(len(lines), dtype=np.uint64), own)
-    start = np.arange(len(line)) + (line * np.uint64(SHINGLE - 1)).astype(np.int64)
-    value = np.sort(line << np.uint64(32) | rolled(points)[start])
+    A bit is the parity of the number of its distinct shingles that hash there. The bits
+    in which two sketches differ are the odd ones among the shingles that only one line
+    has, so never more than those."""
+    if short is None:
+        short = rolled(np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32))
+    own = np.array([len(x) for x in lines]) - SHINGLE + 1
+    number = np.arange(len(lines) + 1)
+    value = short[np.arange(int(own.sum())) + np.repeat(number[:-1] * (SHINGLE - 1), own)].astype(np.int64)
+    value |= np.repeat(number[:-1] << 32, own)
+    value.sort()
     value = value[np.append(True, value[1:] != value[:-1])]
-    bit = (value >> np.uint64(32)) * np.uint64(64 * SKETCH) + (value & np.uint64(0xFFFFFFFF)) % np.uint64(64 * SKETCH)
-    odd = np.bincount(bit.astype(np.int64), minlength=64 * SKETCH * len(lines)) & 1
-    return np.packbits(odd.astype(bool)).view(np.int64).reshape(-1, SKETCH)
+    distinct = np.diff(np.searchsorted(value, number << 32))
+    bit = (np.repeat(number[:-1] * (64 * SKETCH), distinct)) + (value & 0xFFFFFFFF) % (64 * SKETCH)
+    odd = np.bincount(bit, minlength=64 * SKETCH * len(lines)).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64).reshape(-1, SKETCH), distinct
+
+
+def sketches(lines: list[str]) -> np.ndarray:
+    return sketched(lines)[0]
 
 
 def ruled_out(differ, chars):
@@ -167,11 +189,25 @@ def ruled_out(differ, chars):
     return differ * (1 + SIMILARITY) > (chars - 2 * (SHINGLE - 1)) * (1 - SIMILARITY) + 1e-6
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
+def at_most(facts: np.ndarray) -> np.ndarray:
+    """Bounds of the numbers of distinct shingles from above."""
+    return np.where((facts["own"] == MOST) | (facts["spare"] == SPARE), 1 << 40, facts["own"].astype(np.int64) + facts["spare"])
+
+
+def unlike(facts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether lines ``i`` and ``j``, of no smaller ``own`` than ``i``, cannot reach ``SIMILARITY``: by the numbers of their distinct shingles, or by their sketches."""
+    x, y = facts[i], facts[j]
+    less, more = at_most(x), at_most(y)
+    differ = np.bitwise_count(x["sketch"] ^ y["sketch"]).sum(1, dtype=np.int64)
+    return (less < SIMILARITY * y["own"] - 1e-6) | (differ * (1 + SIMILARITY) > (less + more) * (1 - SIMILARITY) + 1e-6)
+
+
+def band_keys(lines: list[str], short: np.ndarray | None = None) -> np.ndarray:
     """A key of ``KEY_BITS`` a line and band, for lines of ``SHINGLE`` characters or more."""
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32)
+    if short is None:
+        short = rolled(np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32))
     lengths = np.array([len(x) for x in lines])
-    least = least_values(rolled(points), np.cumsum(lengths) - lengths, lengths - SHINGLE + 1)
+    least = least_values(short, np.cumsum(lengths) - lengths, lengths - SHINGLE + 1)
     out = np.empty((len(lines), BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(lines), b + 1, np.uint64)
@@ -203,6 +239,7 @@ class Part:
         self.index: dict[bytes, int] = {}
         self.lines: list[str] = []
         self.keys: list[np.ndarray] = []
+        self.facts: list[np.ndarray] = []
         self.signed = self.chars = self.waiting = 0
 
     def add(self, h: bytes, line: str) -> None:
@@ -216,17 +253,29 @@ class Part:
 
     def sign(self) -> None:
         if self.signed < len(self.lines):
-            self.keys.append(band_keys(self.lines[self.signed:]))
+            lines = self.lines[self.signed:]
+            short = rolled(np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32))
+            self.keys.append(band_keys(lines, short))
+            bits, own = sketched(lines, short)
+            facts = np.empty(len(lines), FACT)
+            facts["at"] = np.arange(self.signed, len(self.lines))
+            facts["size"] = [len(x).bit_length() for x in lines]
+            facts["own"] = np.minimum(own, MOST)
+            facts["spare"] = np.minimum(np.array([len(x) for x in lines]) - SHINGLE + 1 - own, SPARE)
+            facts["sketch"] = bits.view(np.uint64)
+            self.facts.append(facts)
             self.signed, self.waiting = len(self.lines), 0
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        """The keys by bucket, which line holds each, and the lines."""
+        """The keys by bucket, which line holds each, the facts of the lines, and the lines."""
         self.sign()
         if not self.lines:
             return
         hashes = list(self.index)
-        tags = np.frombuffer(b"".join(h[:2] for h in hashes), "<u2")
-        size = np.array([len(x).bit_length() for x in self.lines], np.uint8)
+        facts = np.concatenate(self.facts)
+        facts["tag"] = np.frombuffer(b"".join(h[:2] for h in hashes), "<u2")
+        marks = np.empty(len(facts), MARK)
+        marks["tag"], marks["size"] = facts["tag"], facts["size"]
         keys = np.concatenate(self.keys).ravel()
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
@@ -236,11 +285,9 @@ class Part:
         out = []
         for b, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)):
             if y > x:
-                own = holder[x:y]
-                both = np.empty(y - x, [("tag", "<u2"), ("size", "u1")])
-                both["tag"], both["size"] = tags[own], size[own]
-                out.append({"kind": KEYS, "part": self.number, "bucket": b, "n": y - x, "a": shut(np.diff(keys[x:y], prepend=np.uint64(0))), "b": shut(both)})
-                out.append({"kind": HOLDERS, "part": self.number, "bucket": b, "n": y - x, "a": shut(own)})
+                out.append({"kind": KEYS, "part": self.number, "bucket": b, "n": y - x, "a": shut(np.diff(keys[x:y], prepend=np.uint64(0))), "b": shut(marks[holder[x:y]])})
+                out.append({"kind": HOLDERS, "part": self.number, "bucket": b, "n": y - x, "a": shut(holder[x:y])})
+        out.append({"kind": FACTS_OF, "part": self.number, "n": len(facts), "a": shut(facts)})
         yield _rows(out)
         for k in range(0, len(hashes), LINES_A_ROW):
             text = "\n".join(self.lines[k:k + LINES_A_ROW]).encode("utf-8", "replace")
@@ -253,7 +300,7 @@ def parts(docs: DataFrame, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()  # a part is large: what an earlier operator left would stand beside it
-        number = TaskContext.get().partitionId() << 24
+        number = TaskContext.get().partitionId() << PART_BITS
         part = Part(number, bits)
         for batch in batches:
             h, ids, numbers = [], [], []
@@ -283,42 +330,119 @@ def parts(docs: DataFrame, bits: int) -> DataFrame:
     return docs.mapInArrow(run, ROW)
 
 
-TOLD = np.dtype([("at", "<u4"), ("key", "<u8"), ("blocks", "<u4"), ("pivot", "u1"), ("many", "u1")])
+def _merged(table: pa.Table, kind: np.dtype) -> tuple[list[dict], np.ndarray, np.ndarray]:
+    """Of one bucket: the parts' rows in order, their keys, and what stands beside the keys."""
+    rows = sorted(table.select(["part", "bucket", "n", "a", "b"]).to_pylist(), key=lambda r: r["part"])
+    return (rows, np.concatenate([np.cumsum(opened(r["a"], np.uint64), dtype=np.uint64) for r in rows]), np.concatenate([opened(r["b"], kind) for r in rows]))
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Of one bucket's keys: which of each part stand for several lines, in how many blocks, of more than two, and whether the part's line is the pivot."""
-    rows = sorted(table.select(["part", "bucket", "n", "a", "b"]).to_pylist(), key=lambda r: r["part"])
-    keys = np.concatenate([np.cumsum(opened(r["a"], np.uint64), dtype=np.uint64) for r in rows])
-    facts = np.concatenate([opened(r["b"], np.dtype([("tag", "<u2"), ("size", "u1")])) for r in rows])
-    begins = np.cumsum([0, *(r["n"] for r in rows)])
+    """Of one bucket's keys: which of each part stand for several lines."""
+    rows, keys, marks = _merged(table, MARK)
     order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    tags = facts["tag"][order]
+    ordered, tags = keys[order], (marks["tag"].astype(np.uint32) << np.uint32(8) | marks["size"])[order]
+    new = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     held = np.diff(np.append(new, len(keys)))
-    chars = np.add.reduceat(np.left_shift(1, facts["size"][order].astype(np.int64)), new)
-    blocks = np.maximum(-(-held // BLOCK_LINES), -(-chars // BLOCK_CHARS))
-    several = np.repeat(np.minimum.reduceat(tags, new) != np.maximum.reduceat(tags, new), held)
-    first = np.zeros(len(keys), bool)
-    first[new] = True
-    back = np.empty(len(order), np.int64)  # for each place, where it stands among the sorted keys
-    back[order] = np.arange(len(order))
+    several = np.empty(len(keys), bool)
+    several[order] = np.repeat(np.minimum.reduceat(tags, new) != np.maximum.reduceat(tags, new), held)
+    begins = np.cumsum([0, *(r["n"] for r in rows)])
     out = []
-    blocks, many = np.repeat(blocks, held), np.repeat(held > 2, held)
     for r, x, y in zip(rows, begins, begins[1:], strict=False):
-        at = np.flatnonzero(several[back[x:y]])
+        at = np.flatnonzero(several[x:y])
         if len(at):
-            own = back[x + at]
-            told = np.empty(len(at), TOLD)
-            told["at"], told["key"], told["blocks"], told["pivot"], told["many"] = at, keys[own], blocks[own], first[own], many[own]
-            out.append({"kind": SHARED, "part": r["part"], "bucket": r["bucket"], "n": len(at), "a": shut(told)})
+            out.append({"kind": SHARED, "part": r["part"], "bucket": r["bucket"], "n": len(at), "a": shut(at.astype(np.uint32)),
+                        "b": shut(np.diff(keys[x + at], prepend=np.uint64(0)))})
     return pa.Table.from_pylist(out, SCHEMA)
 
 
-FACTS = [*(f"s{k}" for k in range(SKETCH)), "chars"]
-CANDIDATE = pa.schema([("text", pa.bool_()), ("key", pa.int64()), ("blocks", pa.int64()), ("pivot", pa.bool_()), ("many", pa.bool_()), ("h", pa.binary()),
-                       *((c, pa.int64()) for c in FACTS), ("line", pa.binary())])
+def _given(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Of a part: its shared keys by bucket, with the facts of the lines that hold them."""
+    place = {r["bucket"]: r["a"] for r in rows if r["kind"] == HOLDERS}
+    facts = next(opened(r["a"], FACT) for r in rows if r["kind"] == FACTS_OF)
+    for r in rows:
+        if r["kind"] == SHARED:
+            own = opened(place[r["bucket"]], np.uint32)[opened(r["a"], np.uint32)]
+            yield _rows([{"kind": SHARED, "part": r["part"], "bucket": r["bucket"], "n": r["n"], "a": r["b"], "b": shut(facts[own])}])
+
+
+def candidates(told: DataFrame) -> DataFrame:
+    """From the rows of parts of kinds ``HOLDERS``, ``FACTS_OF``, ``SHARED``: a row for each part and bucket with shared keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if rows and rows[-1]["part"] != row["part"]:
+                    yield from _given(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield from _given(rows)
+
+    return told.select("kind", "part", "bucket", "n", "a", "b").repartition("part").sortWithinPartitions("part").mapInArrow(run, ROW)
+
+
+def pairs_of(keys: np.ndarray, facts: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the lines (``refs``) that hold each key: the pairs that may be alike, and the lines of the keys whose pairs are too many.
+
+    Gives ``a``, ``b`` of the pairs, and of those lines ``ref``, the key's pivot, ``key`` and ``blocks``.
+    They are paired with the pivot; whether they are like each other is still to be found."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    new = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    held = np.diff(np.append(new, len(keys)))
+    order = order[np.repeat(held > 1, held)]
+    del ordered, new, held
+    # By key, then number of shingles. Of a line that several parts have the first of them stays.
+    keys, facts, refs = keys[order], facts[order], refs[order]
+    mark = facts["own"].astype(np.uint64) << np.uint64(24) | facts["tag"].astype(np.uint64) << np.uint64(8) | facts["size"]
+    order = np.lexsort((mark, keys))
+    keys, facts, refs, mark = keys[order], facts[order], refs[order], mark[order]
+    if len(keys):
+        other = np.append(True, (keys[1:] != keys[:-1]) | (mark[1:] != mark[:-1]) | (facts["sketch"][1:] != facts["sketch"][:-1]).any(1))
+        keys, facts, refs = keys[other], facts[other], refs[other]
+    n = len(keys)
+    new = np.flatnonzero(np.append(np.ones(min(n, 1), bool), keys[1:] != keys[:-1]))
+    held = np.diff(np.append(new, n))
+    group = np.repeat(np.arange(len(new)), held)
+    end = (new + held)[group]
+    own, most = facts["own"], at_most(facts)
+
+    many = held > BLOCK_LINES
+    count, first, second = np.zeros(len(new), np.int64), [], []
+    i, step = np.flatnonzero(~many[group]), 1
+    while len(i):
+        i = i[(i + step < end[i]) & ~many[group[i]]]
+        i = i[most[i] >= SIMILARITY * own[i + step] - 1e-6]  # those further on have no fewer
+        near = i[~unlike(facts, i, i + step)]
+        first.append(near)
+        second.append(near + step)
+        count += np.bincount(group[near], minlength=len(new))
+        many = (held > BLOCK_LINES) | (count > PAIRS_A_LINE * held)
+        step += 1
+    i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (first, second))
+    some = ~many[group[i]]
+    i, j = i[some], j[some]
+
+    member = np.flatnonzero(many[group])
+    pivot = (new + held // 2)[group[member]]
+    low, high = np.minimum(member, pivot), np.maximum(member, pivot)
+    star = (low < high) & ~unlike(facts, low, high)
+    chars = np.add.reduceat(np.left_shift(1, facts["size"].astype(np.int64)), new) if n else np.empty(0, np.int64)
+    blocks = np.maximum(-(-held // BLOCK_LINES), -(-chars // BLOCK_CHARS))
+    a, b = refs[np.append(i, low[star])], refs[np.append(j, high[star])]
+    return np.maximum(a, b), np.minimum(a, b), refs[member], refs[pivot], keys[member].astype(np.int64), blocks[group[member]]
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """Of one bucket's shared keys: pairs ``a``, ``b`` of lines, and with ``many`` set lines ``a`` of a ``key`` whose pivot is ``b``."""
+    rows, keys, facts = _merged(table, FACT)
+    refs = np.repeat(np.array([r["part"] for r in rows], np.int64) << LINE_BITS, [r["n"] for r in rows]) + facts["at"]
+    a, b, member, pivot, key, blocks = pairs_of(keys, facts, refs)
+    none = pa.nulls(len(a), pa.int64())
+    return pa.concat_tables([
+        pa.Table.from_arrays([pa.array(np.zeros(len(a), bool)), pa.array(a), pa.array(b), none, none], schema=MET),
+        pa.Table.from_arrays([pa.array(np.ones(len(member), bool)), pa.array(member), pa.array(pivot), pa.array(key), pa.array(blocks)], schema=MET)])
 
 
 def _batches(lines: list[str]) -> Iterator[list[str]]:
@@ -334,56 +458,32 @@ def _batches(lines: list[str]) -> Iterator[list[str]]:
         yield held
 
 
-def _given(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    """Of a part: once the text of each line of a shared key, and its lines' shared keys."""
-    by = defaultdict(list)
-    for r in rows:
-        by[r["kind"]].append(r)
-    if not by[SHARED]:
-        return
-    place = {r["bucket"]: opened(r["a"], np.uint32) for r in by[HOLDERS]}
-    told = {r["bucket"]: opened(r["a"], TOLD) for r in by[SHARED]}
-    held = {b: place[b][t["at"]] for b, t in told.items()}
-    chunks = sorted(by[LINES], key=lambda r: r["bucket"])
-    hashes = [r["b"][16 * k:16 * k + 16] for r in chunks for k in range(r["n"])]
-    wanted = np.unique(np.concatenate(list(held.values())))
-    facts = np.zeros((len(hashes), len(FACTS)), np.int64)
-    for k, r in enumerate(chunks):
-        own = wanted[(wanted >= k * LINES_A_ROW) & (wanted < (k + 1) * LINES_A_ROW)].tolist()
-        if own:
-            every = zstandard.decompress(r["a"]).split(b"\n")
-            lines = [every[i - k * LINES_A_ROW] for i in own]
-            n = len(own)
-            plain = [x.decode() for x in lines]
-            facts[own, :SKETCH] = np.concatenate([sketches(some) for some in _batches(plain)])
-            facts[own, SKETCH] = [len(x) for x in plain]
-            longs, flags = pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(n, bool)), longs, longs, flags, flags, pa.array([hashes[i] for i in own], pa.binary()), *[longs] * len(FACTS),
-                 pa.array(lines, pa.binary())], schema=CANDIDATE)
-    for b, t in told.items():
-        n, own = len(t), held[b]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(n, bool)), pa.array(t["key"].astype(np.int64)), pa.array(t["blocks"].astype(np.int64)), pa.array(t["pivot"] > 0), pa.array(t["many"] > 0),
-             pa.array([hashes[i] for i in own.tolist()], pa.binary()), *(pa.array(facts[own, c]) for c in range(len(FACTS))), pa.nulls(n, pa.binary())], schema=CANDIDATE)
-
-
-def candidates(told: DataFrame) -> DataFrame:
-    """From the rows of parts of kinds ``HOLDERS``, ``LINES``, ``SHARED``: rows ``key``, ``blocks``, ``pivot``, ``many``
-    (more than two), ``h``, ``FACTS`` for each shared key of a line, and rows with ``text`` set of ``h``, ``line``."""
+def wanted_lines(wanted: DataFrame, lines: DataFrame) -> DataFrame:
+    """``ref``, ``h``, ``line`` of the lines ``ref``, and ``FACTS`` of those with ``many`` set, from a part's rows of kind ``LINES``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
-                if rows and rows[-1]["part"] != row["part"]:
-                    yield from _given(rows)
-                    rows = []
-                rows.append(row)
-        yield from _given(rows)
-
-    held = told.select("kind", "part", "bucket", "n", "a", "b").repartition("part").sortWithinPartitions("part")
-    return held.mapInArrow(run, "text boolean, key long, blocks long, pivot boolean, many boolean, h binary, " + "".join(f"{c} long, " for c in FACTS) + "line binary")
+                every = zstandard.decompress(row["a"]).split(b"\n")
+                many = set(row["many_at"])
+                for some in ([k for k in row["at"] if k not in many], row["many_at"]):
+                    facts = [pa.nulls(len(some), pa.int64())] * len(FACTS)
+                    own = [every[k] for k in some]
+                    if some and some[0] in many:
+                        plain = [x.decode() for x in own]
+                        bits = np.concatenate([sketches(x) for x in _batches(plain)])
+                        facts = [*(pa.array(np.ascontiguousarray(c)) for c in bits.T), pa.array([len(x) for x in plain], pa.int64())]
+                    first = (row["part"] << LINE_BITS) + row["bucket"] * LINES_A_ROW
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([first + k for k in some], pa.int64()), pa.array([row["b"][16 * k:16 * k + 16] for k in some], pa.binary()), pa.array(own, pa.binary()), *facts],
+                        names=["ref", "h", "line", *FACTS])
+
+    number = F.col("ref").bitwiseAND(F.lit((1 << LINE_BITS) - 1))
+    at = F.pmod(number, F.lit(LINES_A_ROW)).cast("int")
+    by = (wanted.groupBy(F.shiftright("ref", LINE_BITS).alias("part"), F.floor(number / LINES_A_ROW).cast("int").alias("bucket"))
+          .agg(F.collect_set(at).alias("at"), F.collect_set(F.when(F.col("many"), at)).alias("many_at")))
+    return (lines.select("part", "bucket", "a", "b").join(by, ["part", "bucket"]).select("part", "bucket", "a", "b", "at", "many_at")
+            .mapInArrow(run, "ref long, h binary, line binary, " + ", ".join(f"{c} long" for c in FACTS)))
 
 
 def codes(lines: list[str]) -> list[np.ndarray]:
@@ -484,8 +584,8 @@ def _linked(a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def star_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``a``, ``b`` whose exact similarity reaches ``SIMILARITY``."""
+def pair_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a``, ``b``: the lines of the pairs whose exact similarity reaches ``SIMILARITY``, by their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -506,9 +606,9 @@ def star_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield _linked([a[k] for k in good], [b[k] for k in good])
                 at = end
 
-    left = texts.select(F.col("h").alias("a"), F.col("line").alias("x"))
-    right = texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    left = texts.select(F.col("ref").alias("a"), F.col("h").alias("left"), F.col("line").alias("x"))
+    right = texts.select(F.col("ref").alias("b"), F.col("h").alias("right"), F.col("line").alias("y"))
+    return pairs.join(left, "a").join(right, "b").where("left <> right").select("left", "right", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 NEAR = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("h", pa.binary()), ("root", pa.binary()), ("block", pa.int64())])
@@ -588,41 +688,46 @@ def block_links(meeting: DataFrame) -> DataFrame:
 def line_links(own: DataFrame, path: str) -> DataFrame:
     """``node``, ``root`` of distinct lines that are like others, from the rows of all parts, of which all but the places are deleted."""
     spark = own.sparkSession
-    shared_path, given_path, texts_path = (scratch_path(spark, f"line-{x}") for x in ("shared", "candidates", "texts"))
+    shared_path, met_path, pairs_path, texts_path, alike_path = (scratch_path(spark, f"line-{x}") for x in ("shared", "met", "pairs", "texts", "alike"))
     shared = materialise(own.where(F.col("kind") == KEYS).groupBy("bucket").applyInArrow(_shared, ROW), "line-shared", shared_path)
     discard(spark, f"{path}/kind={KEYS}")
-    given = materialise(candidates(own.where(F.col("kind").isin(HOLDERS, LINES)).union(shared)), "line-candidates", given_path, by=("text",))
-    for gone in (f"{path}/kind={HOLDERS}", f"{path}/kind={LINES}", shared_path):
+    told = candidates(own.where(F.col("kind").isin(HOLDERS, FACTS_OF)).union(shared))
+    met = materialise(told.groupBy("bucket").applyInArrow(_met, "many boolean, a long, b long, key long, blocks long"), "line-met", met_path, by=("many",))
+    for gone in (f"{path}/kind={HOLDERS}", f"{path}/kind={FACTS_OF}", shared_path):
         discard(spark, gone)
-    texts = materialise(given.where("text").select("h", "line").dropDuplicates(["h"]), "line-texts", texts_path)
-    discard(spark, f"{given_path}/text=true")
-
-    held = given.where("NOT text").select("key", "blocks", "pivot", "many", "h", *FACTS)
-    pivots = held.where("pivot").select("key", *(F.col(c).alias(f"p_{c}") for c in ("h", *FACTS)))
-    differ = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"p_{c}"))) for c in FACTS[:SKETCH])
-    near = ~ruled_out(differ, F.col("chars") + F.col("p_chars"))
-    stars = held.join(pivots, "key").where((F.col("h") != F.col("p_h")) & near).select(F.greatest("h", "p_h").alias("a"), F.least("h", "p_h").alias("b")).distinct()
-    # Written, so that the files of this join's shuffles are gone before texts are shuffled.
-    # Links are written too: union-find in the same task would need a second Python worker, that stays.
-    stars_path, alike_path, blocks_path = (scratch_path(spark, f"line-{x}") for x in ("stars", "alike", "blocks"))
-    roots = connected_components(materialise(star_links(materialise(stars, "line-stars", stars_path), texts), "line-alike", alike_path), "line-links")
-    for gone in (stars_path, alike_path):
+    pairs = materialise(met.where("NOT many").select("a", "b").distinct(), "line-pairs", pairs_path)
+    members = met.where("many").select(F.col("a").alias("ref"), (F.col("a") == F.col("b")).alias("pivot"), "key", "blocks")
+    wanted = (pairs.select(F.explode(F.array("a", "b")).alias("ref"), F.lit(False).alias("many"))
+              .union(members.select("ref", F.lit(True))))
+    texts = materialise(wanted_lines(wanted, own.where(F.col("kind") == LINES)), "line-texts", texts_path)
+    discard(spark, f"{path}/kind={LINES}")
+    # Links are written: union-find in the same task would need a second Python worker, that stays.
+    linked = materialise(pair_links(pairs, texts), "line-alike", alike_path)
+    for gone in (pairs_path, f"{met_path}/many=false"):
         discard(spark, gone)
+    if not members.isEmpty():
+        linked = linked.union(member_links(members, texts, connected_components(linked, "line-links")))
+    found = connected_components(linked, "line-links")
+    for gone in (met_path, texts_path, alike_path):
+        discard(spark, gone)
+    return found
+
 
-    # Keys of more than two lines that are not all connected.
-    marked = held.where("many").join(roots, held["h"] == roots["node"], "left").select("key", "blocks", "pivot", "h", F.coalesce("root", "h").alias("root"), *FACTS)
+def member_links(members: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links between lines of keys that many lines share and that ``roots`` does not connect."""
+    spark = members.sparkSession
+    held = members.join(texts.select("ref", "h", *FACTS), "ref")
+    marked = held.join(roots, held["h"] == roots["node"], "left").select("key", "blocks", "pivot", "h", F.coalesce("root", "h").alias("root"), *FACTS)
     apart = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     block = F.pmod(F.xxhash64("h"), F.col("blocks"))
     meeting = (marked.join(apart, "key").withColumn("block", block)
                .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
                .withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}))
-    meeting_path = scratch_path(spark, "line-meeting")
-    meeting = materialise(near_lines(meeting), "line-meeting", meeting_path).join(texts, "h")
-    linked = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(materialise(block_links(meeting), "line-blocks", blocks_path))
-    found = connected_components(linked, "line-links")
-    for gone in (given_path, texts_path, meeting_path, blocks_path):
-        discard(spark, gone)
-    return found
+    path = scratch_path(spark, "line-meeting")
+    near = materialise(near_lines(meeting), "line-meeting", path).join(texts.select("h", "line").where(F.col(FACTS[0]).isNotNull()), "h")
+    links = materialise(block_links(near), "line-blocks")
+    discard(spark, path)
+    return links
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -630,7 +735,7 @@ def removals(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     box = Isolated(docs)
     texts = box.df.select(box["doc_id"].cast("long").alias("doc_id"), box["text"].alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    breaks = texts.agg(F.count("*"), F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))))).first()
+    breaks = texts.agg(F.count("*"), F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))))).first()
     keys = BANDS * (breaks[0] + (breaks[1] or 0))
     bits = min(30, max(1, (keys // BUCKET_KEYS).bit_length()))
     path = scratch_path(spark, "line-parts")

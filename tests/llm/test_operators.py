@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -476,6 +477,40 @@ def test_line_sketches():
     assert out > 0.9 * unlike
 
 
+def test_line_pairs(monkeypatch):
+    """Lines that share a key meet by their facts alone: no pair that is alike is lost, few others are left, copies in several parts count once."""
+    rng = random.Random(4)
+    lines = ["ab" * 60, "ab" * 61, "a" * 70_000, "a" * 90_000, "abcde" * 30]
+    for _ in range(40):
+        line = "".join(rng.choices("abcdef ", k=rng.randint(5, 300)))
+        lines += [line, *("".join("é" if k in rng.sample(range(len(line)), 2) else c for k, c in enumerate(line)) for _ in range(2))]
+    lines = list(dict.fromkeys(lines))
+    sets = [line_dedup.shingles(x) for x in lines]
+    like = {(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    monkeypatch.setattr(line_dedup, "band_keys", lambda x, short=None: np.full((len(x), line_dedup.BANDS), 7, np.uint64))
+
+    def given(number):
+        part = line_dedup.Part(number, 1)
+        for k, x in enumerate(lines):
+            part.add(k.to_bytes(16, "little"), x)
+        rows = [r for batch in part.rows() for r in batch.to_pylist()]
+        shared = line_dedup._shared(pa.Table.from_pylist([r for r in rows if r["kind"] == line_dedup.KEYS], line_dedup.SCHEMA)).to_pylist()
+        return [r for batch in line_dedup._given([*rows, *shared]) for r in batch.to_pylist()]
+
+    table = pa.Table.from_pylist([*given(0), *given(1 << 16)], line_dedup.SCHEMA)
+    for few in (1000, 0):
+        monkeypatch.setattr(line_dedup, "PAIRS_A_LINE", few)
+        found = line_dedup._met(table).to_pylist()
+        pairs = {(r["a"], r["b"]) for r in found if not r["many"]}
+        members = [(r["a"], r["b"]) for r in found if r["many"]]
+        if few:
+            assert like <= pairs and not members and len(pairs) < len(like) + 0.05 * len(lines) ** 2 / 2
+        else:  # all lines, with one pivot that is compared with all that may be like it
+            pivot = members[0][1]
+            assert sorted(members) == [(k, pivot) for k in range(len(lines))]
+            assert {x for x in like if pivot in x} <= pairs and all(pivot in x for x in pairs)
+
+
 def test_packing_evolves():
     """Where best fit is not enough: triplets that fill 300 bins, and lengths for which four or fewer share a bin."""
     rng = random.Random(1)

@@ -5,7 +5,7 @@
    of ``BANDS * ROWS`` values over their character shingles is cut into bands, each
    of which gives a key of 48 bits. A part's keys are sorted, dealt into buckets
    and kept as compressed arrays, beside its compressed lines and the facts of each:
-   the number of its shingles and a sketch of 256 bits.
+   the number of its shingles and a sketch of 512 bits.
    A shorter line is like its equals only.
 2. A bucket merges the keys of all parts and tells each part which of its keys
    stand for several different lines; a tag of 16 bits and the bits of the length
@@ -72,9 +72,11 @@ SIGNED_CHARS = 1_000_000
 #: Shingles of a column, and columns whose values are computed together, which should fit a core's cache.
 COLUMN = 32
 COLUMNS = 2048
+ROLLED = 16_384
 KEY_BITS = 48
-#: Longs of a sketch.
-SKETCH = 4
+#: Longs of a sketch. Beside a key it is folded to half of them for lines of so many shingles or fewer.
+SKETCH = 8
+FOLDED = 300
 #: Bits of a line's number in its part, and of a part's number in its task. Both are in a line's ``ref``.
 LINE_BITS = 23
 PART_BITS = 16
@@ -129,11 +131,14 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def rolled(points: np.ndarray) -> np.ndarray:
     """A 32-bit hash of the shingle that starts at every code point but the last ones."""
-    value = np.zeros(len(points) - SHINGLE + 1, np.uint64)
-    for k in range(SHINGLE):
-        value *= _ODD
-        value += points[k:k + len(value)]
-    return (_mixed(value) >> np.uint64(32)).astype(np.uint32)
+    out = np.empty(len(points) - SHINGLE + 1, np.uint32)
+    for at in range(0, len(out), ROLLED):
+        value = np.zeros(min(ROLLED, len(out) - at), np.uint64)
+        for k in range(SHINGLE):
+            value *= _ODD
+            value += points[at + k:at + k + len(value)]
+        out[at:at + len(value)] = _mixed(value) >> np.uint64(32)
+    return out
 
 
 def least_values(short: np.ndarray, first: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -181,6 +186,15 @@ def sketches(lines: list[str]) -> np.ndarray:
     return sketched(lines)[0]
 
 
+def folded(bits: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The sketches, of which some have their second half added to the first, whose bits are parities then, too."""
+    half = SKETCH // 2
+    out = bits.copy()
+    out[which, :half] ^= out[which, half:]
+    out[which, half:] = 0
+    return out
+
+
 def ruled_out(differ, chars):
     """Whether two lines that differ in so many bits, of so many characters together, cannot reach ``SIMILARITY``.
 
@@ -198,7 +212,8 @@ def unlike(facts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether lines ``i`` and ``j``, of no smaller ``own`` than ``i``, cannot reach ``SIMILARITY``: by the numbers of their distinct shingles, or by their sketches."""
     x, y = facts[i], facts[j]
     less, more = at_most(x), at_most(y)
-    differ = np.bitwise_count(x["sketch"] ^ y["sketch"]).sum(1, dtype=np.int64)
+    bits = folded(x["sketch"] ^ y["sketch"], np.minimum(x["own"], y["own"]) <= FOLDED)
+    differ = np.bitwise_count(bits).sum(1, dtype=np.int64)
     return (less < SIMILARITY * y["own"] - 1e-6) | (differ * (1 + SIMILARITY) > (less + more) * (1 - SIMILARITY) + 1e-6)
 
 
@@ -262,7 +277,7 @@ class Part:
             facts["size"] = [len(x).bit_length() for x in lines]
             facts["own"] = np.minimum(own, MOST)
             facts["spare"] = np.minimum(np.array([len(x) for x in lines]) - SHINGLE + 1 - own, SPARE)
-            facts["sketch"] = bits.view(np.uint64)
+            facts["sketch"] = folded(bits.view(np.uint64), facts["own"] <= FOLDED)
             self.facts.append(facts)
             self.signed, self.waiting = len(self.lines), 0
 
